@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup
 
 
 def queries():
-    return {"op5_exact_dedup": exact_dedup.op5_exact_dedup}
+    return {
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+    }
 
 
 def oracle_sql():

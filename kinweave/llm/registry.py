@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import bpe, exact_dedup, language_id, mixing, near_dedup
 
 
 def queries():
     return {
+        "op2_language_id": language_id.op2_language_id,
+        "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_bpe": bpe.op4_bpe,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}

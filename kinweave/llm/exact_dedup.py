@@ -89,8 +89,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the later copies, all columns as they were."""
-    keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col] == keep["__keep"], "left_semi")
+    out = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__out")).distinct()
+    return docs.join(out, docs[id_col] == out["__out"], "left_anti")
 
 
 def op5_exact_dedup(spark, sf_dir):

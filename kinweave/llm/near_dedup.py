@@ -314,5 +314,11 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that near_duplicates() does not keep, all columns as they were."""
+    out = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__out")).distinct()
+    return docs.join(out, docs[id_col].cast("long") == out["__out"], "left_anti")
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(common.documents(spark, sf_dir), k=4, percent=80)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup
+from . import bpe, exact_dedup, language_id, mixing, near_dedup, pii, spot_sigs
 
 
 def queries():
@@ -11,9 +11,11 @@ def queries():
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_bpe": bpe.op4_bpe,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op8_pii": pii.op8_pii,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+        "op10_document_fingerprints": spot_sigs.op10_document_fingerprints,
     }
 
 
 def oracle_sql():
-    return {"op3_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op8_pii": pii.ORACLE}

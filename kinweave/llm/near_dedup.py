@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .exact_dedup import run_count
 
 ROWS, BANDS = 4, 32
 HASHES = ROWS * BANDS
@@ -38,6 +39,8 @@ MATCHES = 72
 ROUNDS = 2
 #: Members on either side of a block of the exact remainder.
 BLOCK = 256
+#: Rows of short lists in a group of the exact remainder, and pairs compared at a time.
+GROUP, PAIRS = 2000, 20_000
 #: Ids of candidate documents are broadcast up to this many, 8 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -152,25 +155,37 @@ def _confirmed(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Of one block: pairs across components that first collide in this list's coordinate and reach MATCHES."""
-
-    def run(key, left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
-        x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(len(left), HASHES)
-        y = np.frombuffer(b"".join(right["o_sig"]), np.uint16).reshape(len(right), HASHES)
-        ids, comps, sizes, far = (right[f"o_{c}"].to_numpy() for c in ("rep", "comp", "n", "outer"))
-        found = []
-        for i, (rep, comp, n, band) in enumerate(zip(left["rep"], left["comp"], left["n"], left["band"])):
-            # two outer members meet twice, once on either side: the smaller id speaks
-            may = (comps != comp) & (~far | (ids > rep)) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
-            at = np.flatnonzero(may)
-            if len(at):
-                same = y[at] == x[i]
-                first = same.reshape(len(at), BANDS, ROWS).all(2).argmax(1)
-                at = at[(same.sum(1) >= MATCHES) & (first == band)]
-                found += [(min(rep, o), max(rep, o)) for o in ids[at]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    """Of the lists in one block: pairs across components that first collide in the list's coordinate and reach MATCHES."""
+
+    def run(left, right):
+        found = [np.empty((0, 2), np.int64)]
+        if len(left) and len(right):
+            x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(len(left), HASHES)
+            y = np.frombuffer(b"".join(right["o_sig"]), np.uint16).reshape(len(right), HASHES)
+            a = {c: left[c].to_numpy() for c in ("value", "rep", "comp", "n", "band")}
+            b = {c: right[f"o_{c}"].to_numpy() for c in ("value", "rep", "comp", "n", "outer")}
+            order = np.argsort(b["value"], kind="stable")
+            ranked = b["value"][order]
+            lo, hi = (np.searchsorted(ranked, a["value"], side=e) for e in ("left", "right"))
+            ends = np.cumsum(hi - lo)
+            i = 0
+            while i < len(left):  # as many members at a time as make about PAIRS pairs
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
+                count = (hi - lo)[i:j]
+                p = np.repeat(np.arange(i, j), count)
+                q = order[np.arange(count.sum()) + np.repeat(lo[i:j] - np.cumsum(count) + count, count)]
+                small, large = np.minimum(a["n"][p], b["n"][q]), np.maximum(a["n"][p], b["n"][q])
+                # two outer members meet twice, once on either side: the smaller id speaks
+                may = (a["comp"][p] != b["comp"][q]) & (~b["outer"][q] | (b["rep"][q] > a["rep"][p])) & (100 * small >= percent * large)
+                p, q = p[may], q[may]
+                same = x[p] == y[q]
+                first = same.reshape(len(p), BANDS, ROWS).all(2).argmax(1)
+                keep = (same.sum(1) >= MATCHES) & (first == a["band"][p])
+                u, v = a["rep"][p[keep]], b["rep"][q[keep]]
+                found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
+                i = j
+        pairs = np.concatenate(found)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
@@ -212,8 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     percent below 80 lowers the signature's recall; the constants above are set for 80 and more.
     """
     spark = docs.sparkSession
-    from .exact_dedup import run_count
-
+    common.bound_batches(spark)
     runs = run_count(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = common.stored(
@@ -292,24 +306,27 @@ def _spread(lists: DataFrame, comps: DataFrame) -> DataFrame:
 def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """All pairs across components in lists that span several, except those within a list's largest component.
 
-    Outer members (not of the largest component) meet every member. Both sides are cut into blocks by a hash of the id,
-    so a list of any length becomes many tasks of at most about BLOCK x BLOCK comparisons.
+    Outer members (not of the largest component) meet every member. Both sides of a list longer than BLOCK are cut into
+    blocks by a hash of the id, so a list of any length becomes many tasks of at most about BLOCK x BLOCK comparisons;
+    shorter lists are dealt whole, some thousand rows of them to a task's group.
     """
+    groups = max(1, spread.count() // GROUP)
     most = spread.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(
         F.max(F.struct("c", "comp"))["comp"].alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")
     )
     members = spread.join(most, "value").join(sigs, "rep").select(
         "value", "band", "rep", "comp", "n", "sig", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
-        F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"),
+        (F.col("blocks") > 1).alias("cut"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"),
+        F.when(F.col("blocks") > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(groups))).alias("group"),
     )
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = members.where("outer").withColumn("y", others).withColumn("x", F.col("own"))
     right = members.withColumn("x", others).withColumn("y", F.col("own"))
-    cols = ["value", "x", "y", "band", "rep", "comp", "n", "sig", "outer"]
-    right = right.select([F.col(c).alias(f"o_{c}") for c in cols])
+    key, cols = ["cut", "group", "x", "y"], ["value", "band", "rep", "comp", "n", "sig", "outer"]
+    right = right.select([F.col(c).alias(f"o_{c}") for c in key + cols])
     return (
-        left.select([F.col(c).alias(c) for c in cols]).groupBy("value", "x", "y")
-        .cogroup(right.groupBy("o_value", "o_x", "o_y"))
+        left.select([F.col(c).alias(c) for c in key + cols]).groupBy(key)
+        .cogroup(right.groupBy([f"o_{c}" for c in key]))
         .applyInPandas(_block_pairs(percent), "a long, b long")
     )
 

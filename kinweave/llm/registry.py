@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, mixing, near_dedup, pii, spot_sigs
+from . import bpe, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, spot_sigs
 
 
 def queries():
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_language_id": language_id.op2_language_id,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_bpe": bpe.op4_bpe,
@@ -18,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op8_pii": pii.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op8_pii": pii.ORACLE}

@@ -227,6 +227,7 @@ def _decoding(vocabulary):
 
 def load(spark, path: str):
     """The vocabulary at path, broadcast."""
+    common.python_ready(spark, 1000)
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 

@@ -207,6 +207,7 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str =
     score 0, as is every text if nothing could be learnt. Ties go to the language that sorts first, with score 0.
     Repeated rows are each predicted; extra columns are ignored; an empty table gives an empty result.
     """
+    common.python_ready(docs.sparkSession)
     texts = training_text(docs, id_col, text_col) if texts is None else texts
     shared = docs.sparkSession.sparkContext.broadcast(texts)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     percent below 80 lowers the signature's recall; the constants above are set for 80 and more.
     """
     spark = docs.sparkSession
-    common.bound_batches(spark)
+    common.python_ready(spark)
     runs = run_count(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = common.stored(

@@ -12,6 +12,7 @@ Lists of one member end there. The other lists are merged without writing out th
   hashes, is retained from MATCHES up, and is then confirmed on the full sets. Confirmed links are joined to components.
 * skipping: a list whose members already share a component needs no further work. Lists that span components get a
   new pivot in the next round.
+* before sets are compared, parity sketches give a bound on the symmetric difference that rejects almost all other pairs.
 * the rest is exact: in lists that still span components after ROUNDS rounds, every pair across components is counted, in
   blocks of bounded size spread over the cluster, each pair only in the list of the first coordinate in which it collides.
 
@@ -39,6 +40,8 @@ MATCHES = 72
 ROUNDS = 2
 #: Members on either side of a block of the exact remainder.
 BLOCK = 256
+#: Bits of a parity sketch: four times the set's size, within these powers of two.
+LEAST_BITS, MOST_BITS = 2048, 32768
 #: Rows of short lists in a group of the exact remainder, and pairs compared at a time.
 GROUP, PAIRS = 2000, 20_000
 #: Ids of candidate documents are broadcast up to this many, 8 bytes each; beyond, they are joined by a shuffle.
@@ -104,6 +107,38 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes by the sketch's length, set if an odd number of members has it.
+
+    The exclusive or of two sketches is the sketch of the sets' symmetric difference and has at most as many bits as that
+    has members: a bound that never rejects a link. Halves of a sketch folded onto each other give the shorter sketch.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _differences(x: list[bytes], p: np.ndarray, y: list[bytes], q: np.ndarray) -> np.ndarray:
+    """Least possible size of the symmetric difference of x[p] and y[q], by their parity sketches."""
+    size_x, size_y = np.array([len(b) for b in x]), np.array([len(b) for b in y])
+    short = np.minimum(size_x[p], size_y[q])
+    out = np.empty(len(p), np.int64)
+
+    def folded(sketches, used, width):
+        rows = np.zeros((len(sketches), width // 8), np.uint64)
+        for i in np.unique(used):
+            rows[i] = np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, width // 8), axis=0)
+        return rows
+
+    for width in np.unique(short):
+        at = np.flatnonzero(short == width)
+        a, b = folded(x, p[at], width), folded(y, q[at], width)
+        for i in range(0, len(at), PAIRS):
+            part = at[i : i + PAIRS]
+            out[part] = np.bitwise_count(a[p[part]] ^ b[q[part]]).sum(1)
+    return out
+
+
 def _sketched(k: int):
     def run(batches):
         for pdf in batches:
@@ -127,18 +162,26 @@ def _sketched(k: int):
 def _sets(k: int):
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(t, k).tobytes() for t in pdf["text"]]})
+            sets = [shingle_set(t, k) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "s": [s.tobytes() for s in sets], "parity": [parity_sketch(s) for s in sets]})
 
     return run
 
 
-def _collided(batches):
-    """Keeps pairs whose signatures agree in MATCHES hashes or more."""
-    for pdf in batches:
-        if len(pdf):
-            a = np.frombuffer(b"".join(pdf["sig_a"]), np.uint16).reshape(-1, HASHES)
-            b = np.frombuffer(b"".join(pdf["sig_b"]), np.uint16).reshape(-1, HASHES)
-            yield pdf.loc[(a == b).sum(1) >= MATCHES, ["a", "b"]]
+def _collided(percent: int):
+    """Keeps pairs whose signatures agree in MATCHES hashes or more and whose sketches allow the similarity."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                a = np.frombuffer(b"".join(pdf["sig_a"]), np.uint16).reshape(-1, HASHES)
+                b = np.frombuffer(b"".join(pdf["sig_b"]), np.uint16).reshape(-1, HASHES)
+                row = np.arange(len(pdf))
+                apart = _differences(list(pdf["parity_a"]), row, list(pdf["parity_b"]), row)
+                both = (pdf["n_a"] + pdf["n_b"]).to_numpy()
+                yield pdf.loc[((a == b).sum(1) >= MATCHES) & (apart * (100 + percent) <= both * (100 - percent)), ["a", "b"]]
+
+    return run
 
 
 def _confirmed(percent: int):
@@ -178,6 +221,9 @@ def _block_pairs(percent: int):
                 # two outer members meet twice, once on either side: the smaller id speaks
                 may = (a["comp"][p] != b["comp"][q]) & (~b["outer"][q] | (b["rep"][q] > a["rep"][p])) & (100 * small >= percent * large)
                 p, q = p[may], q[may]
+                apart = _differences(left["parity"].tolist(), p, right["o_parity"].tolist(), q)
+                may = apart * (100 + percent) <= (a["n"][p] + b["n"][q]) * (100 - percent)
+                p, q = p[may], q[may]
                 same = x[p] == y[q]
                 first = same.reshape(len(p), BANDS, ROWS).all(2).argmax(1)
                 keep = (same.sum(1) >= MATCHES) & (first == a["band"][p])
@@ -268,13 +314,13 @@ def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
         return None
     wanted = ids.withColumnRenamed("rep", "id")
     texts = plain.withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id", "left_semi")
-    sets = common.stored(texts.mapInPandas(_sets(k), "id long, s binary").dropDuplicates(["id"]), "sets")
-    sigs = common.stored(reps.join(ids, "rep", "left_semi").select("rep", "n", "sig"), "signatures")
+    sets = common.stored(texts.mapInPandas(_sets(k), "id long, s binary, parity binary").dropDuplicates(["id"]), "sets")
+    sigs = common.stored(reps.join(sets.select(F.col("id").alias("rep"), "parity"), "rep").select("rep", "n", "sig", "parity"), "signatures")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        a, b = sigs.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), sigs.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+        a, b = (sigs.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "sig", "parity")]) for c in "ab")
         near = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return confirmed(near.select("a", "b", "sig_a", "sig_b").mapInPandas(_collided, "a long, b long"))
+        return confirmed(near.mapInPandas(_collided(percent), "a long, b long"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
@@ -315,14 +361,14 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
         F.max(F.struct("c", "comp"))["comp"].alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")
     )
     members = spread.join(most, "value").join(sigs, "rep").select(
-        "value", "band", "rep", "comp", "n", "sig", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
+        "value", "band", "rep", "comp", "n", "sig", "parity", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
         (F.col("blocks") > 1).alias("cut"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"),
         F.when(F.col("blocks") > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(groups))).alias("group"),
     )
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = members.where("outer").withColumn("y", others).withColumn("x", F.col("own"))
     right = members.withColumn("x", others).withColumn("y", F.col("own"))
-    key, cols = ["cut", "group", "x", "y"], ["value", "band", "rep", "comp", "n", "sig", "outer"]
+    key, cols = ["cut", "group", "x", "y"], ["value", "band", "rep", "comp", "n", "sig", "parity", "outer"]
     right = right.select([F.col(c).alias(f"o_{c}") for c in key + cols])
     return (
         left.select([F.col(c).alias(c) for c in key + cols]).groupBy(key)

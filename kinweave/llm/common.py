@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: ASCII white space as the contracts list it: blank and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -44,21 +44,10 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_shipped: set[str] = set()
-
-
 def python_ready(spark: SparkSession, rows: int = 512) -> None:
     """Before a Python function runs on executors: send them this package, and bound the rows of an Arrow batch, so that
     batches of long texts or sets stay small on both sides."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        at = Path(tempfile.mkdtemp(prefix="kinweave-code-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        context.addPyFile(str(at))
-        _shipped.add(context.applicationId)
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

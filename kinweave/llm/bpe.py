@@ -238,13 +238,14 @@ def encode(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives an empty result. Texts are encoded whole, in chunks of documents of about CHUNK
     characters (one longer document is a chunk of its own).
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInPandas(_encoding(vocabulary), "doc_id long, ids binary")
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return plain.mapInPandas(_encoding(vocabulary), "doc_id long, ids binary").select(common.id_out("doc_id"), "ids")
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
     """encoded with the column decoded: the text of the ids, special tokens included."""
-    return encoded.mapInPandas(_decoding(vocabulary), "doc_id long, ids binary, decoded string")
+    rows = encoded.select(common.id_in("doc_id").alias("doc_id"), "ids")
+    return rows.mapInPandas(_decoding(vocabulary), "doc_id long, ids binary, decoded string").select(common.id_out("doc_id"), "ids", "decoded")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -59,6 +59,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Stands for a null id inside a plan, so that ids can be joined, compared and sent to Python; null ids come last.
+NO_ID = 2**63 - 1
+
+
+def id_in(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
+
+
+def id_out(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(NO_ID)).alias(col)
+
+
 def whole_text(col: str | Column = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def without(docs: DataFrame, out: DataFrame, id_col: str) -> DataFrame:
+    """docs without the ids in out's column __out, all columns as they were; ids identify documents, so rows that repeat
+    the id of a dropped row go with it."""
+    return docs.join(out, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == out["__out"], "left_anti")

@@ -37,7 +37,7 @@ def run_count(spark) -> int:
 def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = common.whole_text(text_col)
     norm = docs.select(
-        F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("n_cp"), normalised(text).alias("norm")
+        common.id_in(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("n_cp"), normalised(text).alias("norm")
     )
     return norm.select(
         "doc_id",
@@ -63,7 +63,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows with equal normalised text the one with the most code points, then the smallest id, stays. Null text counts
     as empty, and all empty texts are one group. Repeated rows with one id form a group of their own size and are all
-    reported; with equal text all of them have kept = true if the id stays. Other columns are ignored. An empty table
+    reported; with equal text all of them have kept = true if the id stays. Null ids are one id, the last. Other columns
+    are ignored. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession
@@ -79,8 +80,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     winners = tree.select("digest", "proof", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
     down = first.select("digest", "proof", "run").join(winners, ["digest", "proof"])
     return base.join(down, ["digest", "proof", "run"]).select(
-        "doc_id",
-        "keep_id",
+        common.id_out("doc_id"),
+        common.id_out("keep_id"),
         "group_size",
         (F.col("doc_id") == F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -89,8 +90,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the later copies, all columns as they were."""
-    out = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(out, docs[id_col] == out["__out"], "left_anti")
+    out = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(common.id_in("doc_id").alias("__out")).distinct()
+    return common.without(docs, out, id_col)
 
 
 def op5_exact_dedup(spark, sf_dir):

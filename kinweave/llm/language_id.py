@@ -210,15 +210,15 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str =
     common.python_ready(docs.sparkSession)
     texts = training_text(docs, id_col, text_col) if texts is None else texts
     shared = docs.sparkSession.sparkContext.broadcast(texts)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = plain.mapInPandas(_predicting(shared), "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (~learnable("doc_id")).alias("held_out"), "lang_pred", "score")
+    return out.select(common.id_out("doc_id"), "lang_pred", "score").select("doc_id", (~learnable("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose language can't be told (und), all columns as they were."""
-    found = identify(docs, id_col=id_col).where(F.col("lang_pred") == UNDETERMINED).select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["__out"], "left_anti")
+    found = identify(docs, id_col=id_col).where(F.col("lang_pred") == UNDETERMINED).select(common.id_in("doc_id").alias("__out")).distinct()
+    return common.without(docs, found, id_col)
 
 
 def op2_language_id(spark, sf_dir):

@@ -31,7 +31,7 @@ DOC = ["doc_id", "h"]
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h, pos (of the line in the text), i (among lines that are not blank), line (MD5, 16 bytes), chars."""
     text = common.whole_text(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.split(text, "\n").alias("all")).select(
+    rows = docs.select(common.id_in(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.split(text, "\n").alias("all")).select(
         *DOC, F.filter(F.transform("all", lambda x, p: F.struct(p.alias("pos"), F.trim(x).alias("line"))), lambda x: x["line"] != "").alias("all")
     )
     each = rows.select(*DOC, F.posexplode("all").alias("i", "x"))
@@ -95,18 +95,18 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
 
     Null text counts as empty and has no lines. Blank lines are never deleted and don't break a run. Rows that repeat an
     id with the same text are taken as one document, so each loses the same lines; with other texts they follow each
-    other in the order of a hash of the text. Extra columns are ignored, an empty table gives an empty result.
+    other in the order of a hash of the text. Null ids come last, as one id. Extra columns are ignored, an empty table gives an empty result.
     """
     gone = repeated_lines(docs, min_chars, id_col, text_col)
     run = F.col("i") - F.row_number().over(W.partitionBy(*DOC).orderBy("i"))
     runs = gone.withColumn("run", run).groupBy(*DOC, "run").agg(F.count("*").alias("n"), F.collect_list("pos").alias("pos"))
     per = runs.groupBy(*DOC).agg(F.count("*").alias("n_runs"), F.max("n").alias("longest_run"), F.array_sort(F.flatten(F.collect_list("pos"))).alias("gone"))
     text = common.whole_text(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = docs.select(common.id_in(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     lines = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, p: ~F.array_contains("gone", p)), "\n"))
     return rows.join(per, DOC, "left").select(
-        "doc_id",
+        common.id_out("doc_id"),
         F.when(F.col("text") == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"),
         F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"),

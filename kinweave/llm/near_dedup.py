@@ -269,13 +269,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles. component_id is
     the smallest doc_id reachable over links, kept = (doc_id = component_id). Null, empty and wordless texts have no
-    shingles, are linked with nothing and stay. Equal sets are always linked. Rows that repeat an id are each reported.
+    shingles, are linked with nothing and stay. Equal sets are always linked. Rows that repeat an id are each reported; if
+    their texts differ, the id stands for the one that is seen first. Null ids are one id, the last. Other columns are
+    ignored; an empty table gives an empty result.
     percent below 80 lowers the signature's recall; the constants above are set for 80 and more.
     """
     spark = docs.sparkSession
     common.python_ready(spark)
     runs = run_count(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = common.stored(
         plain.mapInPandas(_sketched(k), "doc_id long, n_shingles long, cls binary, sig binary, values array<long>").withColumn(
             "run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         base.select("doc_id", "n_shingles", "cls", "run")
         .join(of_run, ["cls", "run"], "left")
         .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .select(common.id_out("doc_id"), "n_shingles", common.id_out("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
     )
 
 
@@ -379,8 +381,8 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that near_duplicates() does not keep, all columns as they were."""
-    out = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__out")).distinct()
-    return docs.join(out, docs[id_col].cast("long") == out["__out"], "left_anti")
+    out = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(common.id_in("doc_id").alias("__out")).distinct()
+    return common.without(docs, out, id_col)
 
 
 def op9_minhash_near_dedup(spark, sf_dir):

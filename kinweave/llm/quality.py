@@ -173,7 +173,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     """doc_id, lang, n_symbols, log_p of every document, by models of all trusted text."""
     spark = docs.sparkSession
     common.python_ready(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), common.whole_text(text_col).alias("text"))
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), common.whole_text(text_col).alias("text"))
     ids = trusted_ids(labels)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     trusted = plain.where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text")
@@ -217,10 +217,10 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, *
     out = common.stored(out, "perplexities")
     trusted = out.join(trusted_ids(labels), "doc_id", "left_semi").where("perplexity is not null")
     cuts = trusted.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold"))
-    empty = docs.where(common.whole_text(columns.get("text_col", "text")) == "").select(F.col(columns.get("id_col", "doc_id")).cast("long").alias("doc_id")).distinct()
+    empty = docs.where(common.whole_text(columns.get("text_col", "text")) == "").select(common.id_in(columns.get("id_col", "doc_id")).alias("doc_id")).distinct()
     out = out.join(empty.withColumn("blank", F.lit(True)), "doc_id", "left")
     return out.join(F.broadcast(cuts), "lang", "left").select(  # one row for each language
-        "doc_id", "lang", "n_symbols", "perplexity", "threshold",
+        common.id_out("doc_id"), "lang", "n_symbols", "perplexity", "threshold",
         (F.col("blank").isNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),
     )
 

@@ -118,6 +118,7 @@ class CrossParser:
         tables = [automaton(self.symbols(t).tolist(), self.width) for t in lowered]
         self.base = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int64)
         roots = [np.maximum(t[0], 0) + b for t, b in zip(tables, self.base)]
+        self.absent = np.stack([t[0] < 0 for t in tables]) if tables else np.empty((0, self.width), bool)
         self.root = np.stack(roots) if roots else np.empty((0, self.width), np.int64)
         self.next = np.concatenate([np.where(t < 0, -1, t + b) for t, b in zip(tables, self.base)]).astype(np.int32) if tables else None
         if tables:
@@ -156,7 +157,9 @@ class CrossParser:
             c = grid[j, :n]
             to = self.next[state[:, :n] * self.width + c]
             stop = to < 0
+            # a symbol that the automaton doesn't have is a phrase of its own, and ends the one before it
             missed[:, :n] += stop
+            missed[:, :n] += stop & self.absent[:, c] & (state[:, :n] != self.base[:, None])
             state[:, :n] = np.where(stop, self.root[:, c], to)
         np.add.at(out, owner[order], missed.T)
         return out

@@ -37,3 +37,67 @@ def near_components(rows, k, percent):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def exact_groups(rows):
+    """{doc_id: (keep_id, size)} of texts equal without white space."""
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
+    return {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+
+
+def spans(text):
+    """Base spans of personal data, straight from the plain patterns."""
+    text = text or ""
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m[0])]
+
+
+def longest_phrases(text, trained):
+    """Cross-parsing by plain search: phrases of text that occur in trained, each as long as can be."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in trained:
+            j += 1
+        n += 1
+        i = max(i + 1, j - 1)
+    return n
+
+
+def repeated_lines(rows, least):
+    """{doc_id: positions of lines in later copies of repeated runs of least characters}, by comparing all runs."""
+    docs = {i: [(p, x.strip(" ")) for p, x in enumerate((t or "").split("\n")) if x.strip(" ")] for i, t in sorted(rows)}
+    seen, gone = {}, {i: set() for i in docs}
+    runs = [(i, s, e) for i, lines in docs.items() for s in range(len(lines)) for e in range(s + 1, len(lines) + 1)]
+    for i, s, e in runs:
+        run = tuple(x for _, x in docs[i][s:e])
+        if sum(map(len, run)) >= least:
+            if run in seen:
+                gone[i] |= {p for p, _ in docs[i][s:e]}
+            else:
+                seen[run] = (i, s)
+    return gone
+
+
+def schedule(weights, total):
+    """Slot by slot: the released block with the earliest deadline. weights: source -> slots of the period."""
+    period = sum(weights.values())
+    done, out = {s: 0 for s in weights}, []
+    for t in range(total):
+        free = [(-(-(done[s] + 1) * period // m), s) for s, m in weights.items() if done[s] * period // m <= t]
+        s = min(free)[1]
+        out.append((s, done[s]))
+        done[s] += 1
+    return out

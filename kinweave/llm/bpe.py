@@ -6,7 +6,7 @@ all its positions at once; only the lists of the pairs to the left and right of
 get positions become active. A merge makes only pairs of a higher rank (its product did not exist before it), so one
 ascending pass over the active ranks gives each word the symbols that word-by-word BPE gives it.
 
-The vocabulary is read on the driver from a path and broadcast: its size is the vocabulary's, not the data's. A worker
+The vocabulary is read on the driver from a path and broadcast: its size is the vocabulary's, not the data's. A partition
 keeps at most CACHE words and then starts afresh.
 """
 
@@ -25,7 +25,7 @@ from . import common
 
 #: The byte-level pre-tokeniser's pattern, a fixed value of the format. White space is spelt out as the property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 400_000
+CACHE = 300_000
 #: Characters whose words are looked up together.
 CHUNK = 4_000_000
 
@@ -191,16 +191,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def _encoding(vocabulary):
     def run(batches):
-        v = vocabulary.value
-        if id(v) not in _encoders:
-            _encoders.clear()
-            _encoders[id(v)] = Encoder(v)
-        encoder = _encoders[id(v)]
+        encoder = Encoder(vocabulary.value)  # a partition's words are forgotten with it
         for pdf in batches:
             texts, i = [t or "" for t in pdf["text"]], 0
             while i < len(texts):

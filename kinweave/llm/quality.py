@@ -122,49 +122,50 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """Log probabilities of one language's grams, from rows of kneser_ney()."""
+    """Log probabilities of one language's grams, from columns n, probability (or weight), g, v of kneser_ney()."""
 
-    def __init__(self, known: list[int], rows: pd.DataFrame):
-        self.folding = Folding(known)
+    def __init__(self, known: list[int], n: np.ndarray, probability: np.ndarray, g: np.ndarray, v: np.ndarray):
+        self.known = known
         below = np.array([1.0 / 2**BITS])
-        for n in range(1, ORDER + 1):
-            weight = np.ones(1 << (BITS * (n - 1)))
-            part = rows[(rows["n"] == n) & (rows["kind"] == "w")]
-            weight[part["g"].to_numpy()] = part["v"].to_numpy()
-            part = rows[(rows["n"] == n) & (rows["kind"] == "p")].sort_values("g")
-            if n < ORDER:
-                g = np.arange(1 << (BITS * n))
-                p = weight[g >> BITS] * below[g & MASK[n - 1]]
-                p[part["g"].to_numpy()] = part["v"].to_numpy()
+        for order in range(1, ORDER + 1):
+            weight = np.ones(1 << (BITS * (order - 1)))
+            at = (n == order) & ~probability
+            weight[g[at]] = v[at]
+            at = (n == order) & probability
+            if order < ORDER:
+                every = np.arange(1 << (BITS * order))
+                p = weight[every >> BITS] * below[every & MASK[order - 1]]
+                p[g[at]] = v[at]
                 below = p
             else:
+                rank = np.argsort(g[at])
                 self.weight, self.below = np.log(weight).astype(np.float32), np.log(below).astype(np.float32)
-                self.keys = np.append(part["g"].to_numpy(), MASK[ORDER] + 1).astype(np.int32)
-                self.seen = np.append(np.log(part["v"].to_numpy()), 0).astype(np.float32)
+                self.keys = np.append(g[at][rank], MASK[ORDER] + 1).astype(np.int32)
+                self.seen = np.append(np.log(v[at][rank]), 0).astype(np.float32)
 
-    def __call__(self, text: str) -> tuple[int, float]:
-        """Number of symbols and their summed log probability."""
-        g = self.folding.grams(text)
+    def logs(self, g: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, g)
-        logs = np.where(self.keys[at] == g, self.seen[at], self.weight[g >> BITS] + self.below[g & MASK[ORDER - 1]])
-        return len(g), float(logs.sum(dtype=np.float64))
+        return np.where(self.keys[at] == g, self.seen[at], self.weight[g >> BITS] + self.below[g & MASK[ORDER - 1]])
 
-
-_scorers: dict = {}
+    @classmethod
+    def of(cls, known: dict[str, list[int]], model: DataFrame, langs: list[str]) -> dict[str, Scorer]:
+        """The scorers of some languages, from kneser_ney(): a few bytes for each row reach the driver."""
+        number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+        rows = model.where(F.col("lang").isin(langs)).select(
+            F.element_at(number, F.col("lang")).cast("short").alias("lang"), F.col("n").cast("byte").alias("n"), (F.col("kind") == "p").alias("p"), F.col("g").cast("int").alias("g"), F.col("v").cast("float").alias("v")
+        ).toArrow()
+        lang, n, p, g, v = (c.to_numpy(zero_copy_only=False) if not hasattr(c, "combine_chunks") else c.to_numpy() for c in rows.columns)
+        return {x: cls(known[x], n[lang == i], p[lang == i].astype(bool), g[lang == i], v[lang == i].astype(np.float64)) for i, x in enumerate(langs)}
 
 
 def _scoring(model):
     def run(batches):
-        known, tables, key = model.value
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = {lang: Scorer(known[lang], rows) for lang, rows in tables.items()}
-        scorers = _scorers[key]
+        scorers = model.value
+        folding = {lang: Folding(s.known) for lang, s in scorers.items()}
         for pdf in batches:
-            rows = []
-            for lang, text in zip(pdf["lang"], pdf["text"]):
-                rows.append(scorers[lang](text or "") if lang in scorers else (0, 0.0))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_symbols": [r[0] for r in rows], "log_p": [r[1] for r in rows]})
+            grams = [folding[lang].grams(text) if lang in folding else () for lang, text in zip(pdf["lang"], pdf["text"])]
+            sums = [float(scorers[lang].logs(g).sum(dtype=np.float64)) if len(g) else 0.0 for lang, g in zip(pdf["lang"], grams)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_symbols": [len(g) for g in grams], "log_p": sums})
 
     return run
 
@@ -194,9 +195,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         held += n
     parts = [plain.where(~F.col("lang").isin(list(known))).select("doc_id", "lang", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_p"))]
     for langs in groups:
-        rows = model.where(F.col("lang").isin(langs)).toPandas()
-        tables = {lang: part for lang, part in rows.groupby("lang")}
-        shared = spark.sparkContext.broadcast((known, tables, model.kinweave_path + "/" + "/".join(langs)))
+        shared = spark.sparkContext.broadcast(Scorer.of(known, model, langs))
         own = plain.where(F.col("lang").isin(langs))
         parts.append(own.mapInPandas(_scoring(shared), "doc_id long, lang string, n_symbols long, log_p double"))
     return reduce(DataFrame.union, parts)

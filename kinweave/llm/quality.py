@@ -32,7 +32,8 @@ MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
 QUANTILE = 0.99
 BROADCAST_IDS = 2_000_000
 GROUP_ROWS = 4_000_000
-FLUSH = 2_000_000
+#: Grams of one language that a counting task holds before it sums them.
+FLUSH = 500_000
 
 
 def _points(text: str) -> np.ndarray:
@@ -163,9 +164,11 @@ def _scoring(model):
         scorers = model.value
         folding = {lang: Folding(s.known) for lang, s in scorers.items()}
         for pdf in batches:
-            grams = [folding[lang].grams(text) if lang in folding else () for lang, text in zip(pdf["lang"], pdf["text"])]
-            sums = [float(scorers[lang].logs(g).sum(dtype=np.float64)) if len(g) else 0.0 for lang, g in zip(pdf["lang"], grams)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_symbols": [len(g) for g in grams], "log_p": sums})
+            found = []
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                g = folding[lang].grams(text) if lang in folding else ()
+                found.append((len(g), float(scorers[lang].logs(g).sum(dtype=np.float64)) if len(g) else 0.0))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_symbols": [f[0] for f in found], "log_p": [f[1] for f in found]})
 
     return run
 

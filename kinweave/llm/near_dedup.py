@@ -388,3 +388,24 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
 
 def op9_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(common.documents(spark, sf_dir), k=4, percent=80)
+
+
+def oracle(k: int, percent: int) -> str:
+    """Links by counting common shingles of all pairs, components by following links: for small tables."""
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) END AS sh FROM w
+), p AS (SELECT doc_id, unnest(sh) AS x, len(sh) AS n FROM s
+), link AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM p a JOIN p b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS id, doc_id AS seen FROM documents UNION SELECT r.id, l.v FROM reach r JOIN link l ON l.u = r.seen
+), c AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY 1)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.id = s.doc_id
+"""
+
+
+ORACLE = oracle(4, 80)

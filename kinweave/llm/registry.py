@@ -21,4 +21,11 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": line_dedup.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op8_pii": pii.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op3_mix_sources": mixing.ORACLE,
+        "op5_exact_dedup": exact_dedup.ORACLE,
+        "op8_pii": pii.ORACLE,
+        "op9_minhash_near_dedup": near_dedup.ORACLE,
+        "op10_document_fingerprints": spot_sigs.ORACLE,
+    }

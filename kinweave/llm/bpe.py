@@ -25,9 +25,9 @@ from . import common
 
 #: The byte-level pre-tokeniser's pattern, a fixed value of the format. White space is spelt out as the property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-CACHE = 300_000
+CACHE = 200_000
 #: Characters whose words are looked up together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def _byte_chars() -> dict[str, int]:
@@ -220,7 +220,7 @@ def _decoding(vocabulary):
 
 def load(spark, path: str):
     """The vocabulary at path, broadcast."""
-    common.python_ready(spark, 1000)
+    common.python_ready(spark)
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 

@@ -35,8 +35,8 @@ def target_weights(counts: DataFrame, weights: dict[str, float] | None, resoluti
     else:
         named = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map().cast("map<string,double>")
         raw = counts.select("source", F.coalesce(F.try_element_at(named, F.col("source")).cast("double"), F.lit(0.0)).alias("w"))
-    total = raw.agg(F.sum("w").alias("all"))
-    return raw.crossJoin(F.broadcast(total)).select(
+    # one row for each source, as the fold over a period gathers them anyway
+    return raw.withColumn("all", F.sum("w").over(W.partitionBy())).select(
         "source", F.greatest(F.lit(1), F.round(resolution * F.coalesce(F.try_divide("w", "all"), F.lit(0.0)))).cast("long").alias("m")
     )
 

@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         "representatives",
     )
     links = _links(spark, plain, reps, k, percent)
+    common.dropped(reps)
     comp_of = classes if links is None else _with_comp(classes, components(links)).select("cls", F.col("comp").alias("rep"))
     of_run = entries.select("cls", "run").join(comp_of, "cls")
     return (
@@ -329,18 +330,26 @@ def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
         return full.mapInPandas(_confirmed(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     links = common.stored(checked(lists.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "links")
+    scratch = [lists, ids, sets, sigs, links]
+    more = None
     for step in range(ROUNDS):
         found = common.stored(components(links), "components")
         links = found.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v"))
         spread = _spread(lists, found)
+        scratch += [found, spread]
         if spread.isEmpty():
-            return links
-        if step + 1 < ROUNDS:
-            # the smallest member outside the first pivot's component is the next pivot
-            nxt = spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("p"))
-            pairs = spread.join(nxt, "value").where("comp <> p.comp").select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct()
-            links = common.stored(links.union(checked(pairs)), "links")
-    return common.stored(links.union(confirmed(_remainder(spread, sigs, percent))), "links")
+            break
+        if step + 1 == ROUNDS:
+            more = confirmed(_remainder(spread, sigs, percent))
+            break
+        # the smallest member outside the first pivot's component is the next pivot
+        nxt = spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("p"))
+        pairs = spread.join(nxt, "value").where("comp <> p.comp").select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct()
+        links = common.stored(links.union(checked(pairs)), "links")
+        scratch.append(links)
+    out = common.stored(links if more is None else links.union(more), "links")
+    common.dropped(*scratch)
+    return out
 
 
 def _spread(lists: DataFrame, comps: DataFrame) -> DataFrame:

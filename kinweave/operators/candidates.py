@@ -140,3 +140,26 @@ def recovered(old: DataFrame, hits: DataFrame, truth: DataFrame, new_blocks: lis
     missed = t.join(old.select(*PAIR).distinct(), PAIR, "left_anti")
     by = hits.where(F.col("block").isin(new_blocks)).groupBy(*PAIR).agg(F.array_join(F.array_sort(F.collect_set("block")), ",").alias("recovered_by"))
     return missed.join(by, PAIR, "left").na.fill("")
+
+
+def block_investigation(hits: DataFrame, truth: DataFrame, spine: DataFrame, featured: DataFrame, block: str = "house_name") -> DataFrame:
+    """One row about one block: true and false pairs, what else agrees in the true ones, those no other block finds, recall by
+    source, and singletons that receive candidates. featured: the block's pairs with records a and b."""
+    t = truth.select("source1_entity_id", F.col("target_id").alias("candidate_entity_id")).distinct().withColumn("hit", F.lit(1))
+    others = hits.where(F.col("block") != block).select(*PAIR).distinct().withColumn("other", F.lit(1))
+    pairs = featured.join(t, PAIR, "left").join(others, PAIR, "left").join(truth.select("source1_entity_id").distinct().withColumn("has_truth", F.lit(1)), "source1_entity_id", "left")
+    true = F.col("hit").isNotNull()
+    same = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) & (F.col(f"a.{c}") != "")
+    count = lambda c: F.count(F.when(c, 1))
+    name = (F.col("a.name_norm") == F.col("b.name_norm")) | (F.col("a.name_core") == F.col("b.name_core"))
+    row = pairs.agg(
+        count(true).alias("true_pairs"), count(~true).alias("false_pairs"), count(true & same("house_number")).alias("same_house"), count(true & name).alias("same_name"),
+        count(true & same("postal_code")).alias("same_postal"), count(true & same("address_norm")).alias("same_address"), count(true & F.col("other").isNull()).alias("only_here"),
+        *[count(true & F.col("candidate_entity_id").startswith(s)).alias(f"true_{s.lower()}") for s in ("S2", "S3")],
+        F.countDistinct(F.when(F.col("has_truth").isNull(), F.col("source1_entity_id"))).alias("singletons"),
+    )
+    total = t.agg(*[count(F.col("candidate_entity_id").startswith(s)).alias(f"all_{s.lower()}") for s in ("S2", "S3")])
+    out = row.crossJoin(F.broadcast(total))  # one row each
+    return out.withColumn("precision", F.coalesce(F.try_divide(F.col("true_pairs"), F.col("true_pairs") + F.col("false_pairs")), F.lit(0.0))).withColumns(
+        {f"recall_{s}": F.coalesce(F.try_divide(F.col(f"true_{s}"), F.col(f"all_{s}")), F.lit(0.0)) for s in ("s2", "s3")}
+    )

@@ -10,6 +10,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -89,3 +91,21 @@ def hybrid(classical: DataFrame, results: DataFrame, k: int) -> DataFrame:
 def hard_negatives(results: DataFrame, relevant: DataFrame, top: int = 25, least: float = 0.7) -> DataFrame:
     """Pairs within the top ranks and of the least score that aren't relevant."""
     return results.where((F.col("rank") <= top) & (F.col("score") >= least)).join(relevant, ["query_id", "target_id"], "left_anti")
+
+
+def recall_by_category(ranks: DataFrame, ks: list[int]) -> DataFrame:
+    """category, k, n, first_recall, second_recall, union_recall of pairs with a category and ranks in two rankings."""
+    grid = F.explode(F.array(*map(F.lit, ks))).alias("k")
+    rows = ranks.select("category", "first_rank", "second_rank", grid)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    first, second = F.col("first_rank") <= F.col("k"), F.col("second_rank") <= F.col("k")
+    return rows.groupBy("category", "k").agg(F.count("*").alias("n"), share(first).alias("first_recall"), share(second).alias("second_recall"), share(F.coalesce(first, F.lit(False)) | F.coalesce(second, F.lit(False))).alias("union_recall"))
+
+
+def encoded(df: DataFrame, text: str, size: int = 256, grams: int = 3) -> DataFrame:
+    """df with v, a unit vector of hashed character n-grams: a stand-in, without a trained encoder, for sentence vectors."""
+    padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - grams + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(grams)))
+    counted = HashingTF(numFeatures=size, inputCol="__g", outputCol="__tf").transform(df.withColumn("__g", pieces))
+    unit = Normalizer(inputCol="__tf", outputCol="__unit").transform(counted)
+    return unit.withColumn("v", vector_to_array("__unit")).drop("__g", "__tf", "__unit")

@@ -179,3 +179,39 @@ def transformations(pairs: DataFrame) -> DataFrame:
         "formatting",
     )
     return pairs.select(*PAIR, names.alias("name_change"), ways.alias("address_change"))
+
+
+def hybrid_sampled(pairs: DataFrame, most: int = 15, each: int = 6, salt: str = "") -> DataFrame:
+    """All positives, and of each query's negatives up to each hard ones by embedding (cosine of 0.7 and more), up to each
+    hard ones by blocks (two of them, or house_token), and others in the order of a hash until most are reached.
+
+    pairs: label, embedding_hit, cosine, support, blocks. kind tells how a row was chosen.
+    """
+    hard_embedding = F.col("embedding_hit") & (F.col("cosine") >= 0.70)
+    hard_block = (F.col("support") >= 2) | F.array_contains("blocks", "house_token")
+    kind = F.when(F.col("label") == 1, "positive").when(hard_embedding, "embedding").when(hard_block, "classical").otherwise("random")
+    order = F.when(F.col("kind") == "embedding", -F.col("cosine")).when(F.col("kind") == "classical", -F.col("support").cast("double"))
+    rows = pairs.withColumn("kind", kind).withColumn("h", F.md5(F.concat(F.lit(salt), *PAIR).cast("binary")))
+    group = W.partitionBy("source1_entity_id", "kind")
+    rows = rows.withColumn("r", F.row_number().over(group.orderBy(order, "h")))
+    chosen = F.count(F.when(F.col("kind").isin("embedding", "classical") & (F.col("r") <= each), 1)).over(W.partitionBy("source1_entity_id"))
+    rows = rows.withColumn("hard", chosen)
+    keep = F.when(F.col("kind") == "positive", True).when(F.col("kind") == "random", F.col("r") <= most - F.col("hard")).otherwise(F.col("r") <= each)
+    return rows.where(keep).drop("h", "r", "hard")
+
+
+def miss_kinds(truth: DataFrame, candidates: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Truths that aren't predicted, as misses of blocking or of the model."""
+    lost = misses(truth, predicted)
+    c = candidates.select(*PAIR).distinct().withColumn("c", F.lit(1))
+    return lost.join(c, PAIR, "left").select(*PAIR, F.when(F.col("c").isNull(), "A Blocking").otherwise("B Model").alias("kind"))
+
+
+def recovery(missed: DataFrame, ranks: DataFrame, scored: DataFrame, threshold: float, top: int = 200) -> DataFrame:
+    """Each miss of the classical blocks: retrieved by embedding and accepted, retrieved but rejected, or not retrieved.
+
+    ranks: pairs with embedding_rank; scored: pairs with score; pairs without either count as not retrieved, or as score 0.
+    """
+    rows = missed.select(*PAIR).join(ranks.select(*PAIR, "embedding_rank"), PAIR, "left").join(scored.select(*PAIR, "score"), PAIR, "left")
+    steps = [((F.col("embedding_rank") <= top) & (F.coalesce("score", F.lit(0.0)) >= threshold), "A accepted"), (F.col("embedding_rank") <= top, "B rejected")]
+    return rows.select(*PAIR, "embedding_rank", ladder(steps, "C not retrieved").alias("status"))

@@ -35,3 +35,11 @@ def areas(model: PipelineModel, pairs: DataFrame) -> dict[str, float]:
     """Areas under the ROC and the precision-recall curve."""
     out = model.transform(pairs.withColumn("label", F.col("label").cast("double")))
     return {m: BinaryClassificationEvaluator(labelCol="label", metricName=m).evaluate(out) for m in ("areaUnderROC", "areaUnderPR")}
+
+
+def ablation(pairs: DataFrame, valid: DataFrame, bundles: dict[str, list[str]], rounds: int = 20) -> list[dict]:
+    """For each bundle of features: its size and the areas of a model trained on pairs, on valid."""
+    out = []
+    for name, names in bundles.items():
+        out.append({"bundle": name, "features": len(names)} | areas(train(pairs, names, rounds), valid))
+    return out

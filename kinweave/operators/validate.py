@@ -61,3 +61,17 @@ def normalization_stats(normed: DataFrame) -> DataFrame:
         count((F.col("name_norm") == "") & (F.col("business_name") != "")).alias("names_emptied"), count(F.col("address_norm") != F.col("business_address")).alias("addresses_changed"),
         count(F.col("postal_code") != "").alias("postal_codes"), count(F.col("house_number") != "").alias("house_numbers"), count(F.col("address_number_tokens") != "").alias("with_numbers"),
     )
+
+
+def file_problems(spark, path: str, header: list[str]) -> DataFrame:
+    """problem, n for a submission file read as plain lines: a wrong header, a comma-separated header, lines that don't have
+    as many fields as the header."""
+    lines = spark.read.text(path)
+    tabbed, commas = "\t".join(header), ",".join(header)
+    is_header = F.col("value") == tabbed
+    one = lambda name, n: F.struct(F.lit(name).alias("problem"), n.cast("long").alias("n"))
+    row = lines.agg(
+        (F.count(F.when(is_header, 1)) == 0).cast("long").alias("no_header"), F.count(F.when(F.col("value") == commas, 1)).alias("comma"),
+        F.count(F.when(~is_header & (F.col("value") != commas) & (F.size(F.split("value", "\t")) != len(header)), 1)).alias("malformed"),
+    )
+    return row.select(F.explode(F.array(one("header missing", F.col("no_header")), one("comma-separated header", F.col("comma")), one("malformed line", F.col("malformed")))).alias("x")).select("x.*")

@@ -775,6 +775,106 @@ def dense_hard_negatives(spark, sf_dir):
     return dense.hard_negatives(dense.top_k(q, t, 25), relevant, 25, 0.2)
 
 
+_ONE_BLOCK = "house_name"
+
+
+@query(
+    "block_investigation",
+    O.over_hits(
+        _E,
+        f"""
+SELECT true_pairs, false_pairs, same_house, same_name, same_postal, same_address, only_here, true_s2, true_s3, singletons, all_s2, all_s3, coalesce(true_pairs / nullif(true_pairs + false_pairs, 0), 0.0) AS precision,
+  coalesce(true_s2 / nullif(all_s2, 0), 0.0) AS recall_s2, coalesce(true_s3 / nullif(all_s3, 0), 0.0) AS recall_s3 FROM (
+  SELECT count(*) FILTER (hit) AS true_pairs, count(*) FILTER (NOT hit) AS false_pairs, count(*) FILTER (hit AND house) AS same_house, count(*) FILTER (hit AND name) AS same_name, count(*) FILTER (hit AND postal) AS same_postal,
+    count(*) FILTER (hit AND way) AS same_address, count(*) FILTER (hit AND NOT other) AS only_here, count(*) FILTER (hit AND c LIKE 'S2%') AS true_s2, count(*) FILTER (hit AND c LIKE 'S3%') AS true_s3,
+    count(DISTINCT q) FILTER (NOT has_truth) AS singletons FROM x), (SELECT count(*) FILTER (target_id LIKE 'S2%') AS all_s2, count(*) FILTER (target_id LIKE 'S3%') AS all_s3 FROM (SELECT DISTINCT * FROM truth))""",
+        f"""x AS (SELECT h.source1_entity_id AS q, h.candidate_entity_id AS c, EXISTS (SELECT 1 FROM truth t WHERE t.source1_entity_id = h.source1_entity_id AND t.target_id = h.candidate_entity_id) AS hit,
+  EXISTS (SELECT 1 FROM truth t WHERE t.source1_entity_id = h.source1_entity_id) AS has_truth,
+  EXISTS (SELECT 1 FROM hits o WHERE o.block <> '{_ONE_BLOCK}' AND o.source1_entity_id = h.source1_entity_id AND o.candidate_entity_id = h.candidate_entity_id) AS other,
+  a.house_number = b.house_number AND a.house_number <> '' AS house, a.name_norm = b.name_norm OR a.name_core = b.name_core AS name, a.postal_code = b.postal_code AND a.postal_code <> '' AS postal, a.address_norm = b.address_norm AND a.address_norm <> '' AS way
+  FROM hits h JOIN nm a ON a.entity_id = h.source1_entity_id JOIN nm b ON b.entity_id = h.candidate_entity_id WHERE h.block = '{_ONE_BLOCK}')""",
+    ),
+    ["precision", "recall_s2", "recall_s3"],
+)
+def block_investigation(spark, sf_dir):
+    q, t = _sides(spark, sf_dir)
+    h = blocking.research_hits(q, t, _E)
+    featured = features.with_records(h.where(F.col("block") == _ONE_BLOCK).select(*PAIR), q, t)
+    return candidates.block_investigation(h, _truth(spark, sf_dir), _spine(spark, sf_dir), featured, _ONE_BLOCK)
+
+
+@query("miss_kinds", O.with_(*_DECIDED[:-1], select="SELECT t.source1_entity_id, t.target_id AS candidate_entity_id, CASE WHEN EXISTS (SELECT 1 FROM ranked r WHERE r.source1_entity_id = t.source1_entity_id AND r.candidate_entity_id = t.target_id AND r.rank <= 2) THEN 'B Model' ELSE 'A Blocking' END AS kind FROM (SELECT DISTINCT * FROM truth) t WHERE NOT EXISTS (SELECT 1 FROM scored k WHERE k.score >= 0.95 AND k.source1_entity_id = t.source1_entity_id AND k.candidate_entity_id = t.target_id)"))
+def miss_kinds(spark, sf_dir):
+    """With a high threshold, and candidates cut to two."""
+    ranked = _production(spark, sf_dir)
+    s = features.rule_scores(ranked, *_sides(spark, sf_dir))
+    return forensics.miss_kinds(_truth(spark, sf_dir), ranked.where("rank <= 2"), decision.matches(s, 0.95))
+
+
+_PSEUDO = "CAST(('0x' || substr(md5(r.source1_entity_id || r.candidate_entity_id), 1, 4)) AS INTEGER)"
+_SAMPLE = f"""pool AS (SELECT r.source1_entity_id, r.candidate_entity_id, CAST(t.target_id IS NOT NULL AS INTEGER) AS label, r.support, r.blocks, r.rank % 3 = 0 AS hit, {_PSEUDO} / 65536 AS cosine
+  FROM ranked r LEFT JOIN (SELECT DISTINCT * FROM truth) t ON t.source1_entity_id = r.source1_entity_id AND t.target_id = r.candidate_entity_id),
+kinds AS (SELECT *, CASE WHEN label = 1 THEN 'positive' WHEN hit AND cosine >= 0.70 THEN 'embedding' WHEN support >= 2 OR list_contains(blocks, 'house_token') THEN 'classical' ELSE 'random' END AS kind, md5(source1_entity_id || candidate_entity_id) AS h FROM pool),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source1_entity_id, kind ORDER BY CASE kind WHEN 'embedding' THEN -cosine WHEN 'classical' THEN -CAST(support AS DOUBLE) END, h) AS r FROM kinds),
+counted AS (SELECT *, count(*) FILTER (kind IN ('embedding', 'classical') AND r <= 2) OVER (PARTITION BY source1_entity_id) AS hard FROM placed)"""
+
+
+@query("hybrid_sampled", O.with_(O.BUSINESSES, O.NORMALIZED, O.TRUTH, O.PRODUCTION, _SAMPLE, select="SELECT source1_entity_id, candidate_entity_id, label, kind FROM counted WHERE CASE kind WHEN 'positive' THEN true WHEN 'random' THEN r <= 6 - hard ELSE r <= 2 END"))
+def hybrid_sampled(spark, sf_dir):
+    """With cosines made from a hash, as the entity tables have no vectors."""
+    pseudo = F.conv(F.substring(F.md5(F.concat(*PAIR).cast("binary")), 1, 4), 16, 10).cast("int") / 65536
+    pairs = forensics.labelled(_production(spark, sf_dir), _truth(spark, sf_dir)).withColumn("embedding_hit", F.col("rank") % 3 == 0).withColumn("cosine", pseudo)
+    return forensics.hybrid_sampled(pairs, 6, 2).select(*PAIR, "label", "kind")
+
+
+@query(
+    "recovery_status",
+    O.over_hits(
+        ["exact_name"],
+        """
+SELECT m.source1_entity_id, m.candidate_entity_id, r.rank AS embedding_rank, CASE WHEN r.rank <= 10 AND coalesce(k.score, 0.0) >= 0.5 THEN 'A accepted' WHEN r.rank <= 10 THEN 'B rejected' ELSE 'C not retrieved' END AS status
+FROM missed m LEFT JOIN ranked r ON r.source1_entity_id = m.source1_entity_id AND r.candidate_entity_id = m.candidate_entity_id LEFT JOIN scored k ON k.source1_entity_id = m.source1_entity_id AND k.candidate_entity_id = m.candidate_entity_id""",
+        _MISSED, ",".join([O.fast_hits(name="fast").replace("lim AS", "flim AS").replace("JOIN lim", "JOIN flim").replace("flim.block", "flim.block").replace("lim.block", "lim.block").replace("filed AS", "ffiled AS").replace("JOIN filed", "JOIN ffiled").replace("asked AS", "fasked AS").replace("FROM asked", "FROM fasked").replace("fflim", "flim").replace("ON lim.block", "ON flim.block"), O.united(config.RANK_WEIGHTS, "fast"), O.ranked(["support", "strength", "candidate_entity_id"], 20, False)]), O.RULE,
+    ),
+)
+def recovery_status(spark, sf_dir):
+    """Misses of the exact block, with the production ranking in the part of the second retriever."""
+    q, t = _sides(spark, sf_dir)
+    ranked = candidates.production_ranked(blocking.fast_hits(q, t))
+    missed = forensics.misses(_truth(spark, sf_dir), blocking.research_hits(q, t, ["exact_name"]))
+    return forensics.recovery(missed, ranked.withColumnRenamed("rank", "embedding_rank"), features.rule_scores(ranked, q, t), 0.5, 10)
+
+
+@query(
+    "dense_recall_by_category",
+    O.with_(
+        _DENSE,
+        "odd AS (SELECT query_id, target_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS INTEGER) AS rank FROM d WHERE target_id % 2 = 1)",
+        "pr AS (SELECT d.query_id, d.target_id, (SELECT label FROM e WHERE id = d.query_id) AS category, t.rank AS r1, o.rank AS r2 FROM d LEFT JOIN top t ON t.query_id = d.query_id AND t.target_id = d.target_id LEFT JOIN odd o ON o.query_id = d.query_id AND o.target_id = d.target_id AND o.rank <= 200 WHERE d.same)",
+        select="\nSELECT category, k, count(*) AS n, avg(CAST(coalesce(r1 <= k, false) AS INTEGER)) AS first_recall, avg(CAST(coalesce(r2 <= k, false) AS INTEGER)) AS second_recall, avg(CAST(coalesce(r1 <= k, false) OR coalesce(r2 <= k, false) AS INTEGER)) AS union_recall FROM pr CROSS JOIN (VALUES (10), (25), (50), (100), (200)) AS x(k) GROUP BY 1, 2",
+    ),
+    ["first_recall", "second_recall", "union_recall"],
+)
+def dense_recall_by_category(spark, sf_dir):
+    q, t = _vectors(spark, sf_dir)
+    relevant = q.select(F.col("id").alias("query_id"), "label").join(t.select(F.col("id").alias("target_id"), "label"), "label").withColumnRenamed("label", "category")
+    first, second = dense.top_k(q, t, 200), dense.top_k(q, t.where("id % 2 = 1"), 200)
+    both = relevant.join(first.select("query_id", "target_id", F.col("rank").alias("first_rank")), ["query_id", "target_id"], "left")
+    return dense.recall_by_category(both.join(second.select("query_id", "target_id", F.col("rank").alias("second_rank")), ["query_id", "target_id"], "left"), [10, 25, 50, 100, 200])
+
+
+@query("hybrid_features")
+def hybrid_features(spark, sf_dir):
+    """Names and joint texts as hashed 3-gram vectors, their cosines, and the eight hybrid features."""
+    q, t = _sides(spark, sf_dir)
+    side = lambda df, key: dense.encoded(dense.encoded(df.select(F.col("entity_id").alias(key), "name_norm", X.name_and_address(F.col("name_norm"), F.col("address_norm")).alias("joint")), "name_norm").withColumnRenamed("v", f"{key}_n"), "joint").withColumnRenamed("v", f"{key}_j").select(key, f"{key}_n", f"{key}_j")
+    dot = lambda c: F.aggregate(F.zip_with(f"source1_entity_id_{c}", f"candidate_entity_id_{c}", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    pairs = features.base_features(features.with_records(candidates.production_ranked(blocking.fast_hits(q, t)), q, t))
+    pairs = pairs.join(side(q, "source1_entity_id"), "source1_entity_id").join(side(t, "candidate_entity_id"), "candidate_entity_id")
+    pairs = pairs.withColumn("name_cosine", dot("n")).withColumn("joint_cosine", dot("j")).withColumn("embedding_rank", F.when(F.col("joint_cosine") >= 0.5, F.col("rank")))
+    return features.hybrid_features(pairs).select(*PAIR, *features.HYBRID)
+
+
 # --- trained model and whole plans ---------------------------------------------------------------------------------
 def _training(spark, sf_dir):
     return forensics.labelled(features.base_features(_featured(spark, sf_dir)), _truth(spark, sf_dir)).select(*PAIR, "label", *features.FEATURES)

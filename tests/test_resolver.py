@@ -172,6 +172,27 @@ def test_dense(spark):
     assert dense.top_k(df.limit(0), df, 3).count() == 0
 
 
+def test_encoded(spark):
+    df = dense.encoded(spark.createDataFrame([(1, "valley coalition"), (2, "the valley coalition"), (3, "zzz"), (4, None)], "id long, t string"), "t")
+    v = {r.id: r.v for r in df.collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    assert dot(1, 1) == pytest.approx(1) and dot(1, 2) > 0.8 > 0.3 > dot(1, 3) and len(v[4]) == 256
+
+
+def test_file_problems(spark, tmp_path):
+    (tmp_path / "good.tsv").write_text("a\tb\n1\t2\n3\t\n")
+    (tmp_path / "bad.tsv").write_text("a,b\n1\t2\t3\n4\t5\n")
+    found = lambda name: {r.problem: r.n for r in validate.file_problems(spark, str(tmp_path / name), ["a", "b"]).collect()}
+    assert set(found("good.tsv").values()) == {0}
+    assert found("bad.tsv") == {"header missing": 1, "comma-separated header": 1, "malformed line": 1}
+
+
+def test_ablation(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 3), int(i % 7 > 3)) for i in range(200)], "x double, y double, label int")
+    out = model.ablation(df, df, {"both": ["x", "y"], "y": ["y"]}, rounds=2)
+    assert out[0]["areaUnderROC"] > 0.99 > out[1]["areaUnderROC"] and out[0]["features"] == 2
+
+
 def test_stream(spark, tmp_path):
     from kinweave.streaming.resolve import resolve_stream
 

@@ -225,11 +225,15 @@ def research_hits(queries: DataFrame, targets: DataFrame, names: list[str]) -> D
         asked = rest.unionByName(per)
     else:
         asked = asked.withColumn("source", F.lit(None).cast("string"))
-    found = asked.select("source1_entity_id", "country", "block", "index", "key", "pos", "most", F.col("source").alias("only")).join(
-        filed.select(F.col("entity_id").alias("candidate_entity_id"), "source", "country", F.col("block").alias("index"), "key"), ["country", "index", "key"]
-    ).where("only is null or only = source")
+    # a list holds at most its block's cap, so lists travel whole; pairs appear only where a query's lists have met
+    lists = filed.groupBy("source", "country", F.col("block").alias("index"), "key").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
+    found = asked.select("source1_entity_id", "country", "block", "index", "key", "pos", "most", F.col("source").alias("only")).join(lists, ["country", "index", "key"]).where("only is null or only = source")
     counted = [b.name for b in blocks if b.count]
-    pair = found.groupBy("source1_entity_id", "source", "block", "candidate_entity_id").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"), F.max("most").alias("most"))
+    # the first candidates of a query are among the first of each of its lists
+    enough = F.when(F.col("most").isNull() | F.col("block").isin(counted), F.col("ids")).otherwise(F.slice("ids", F.lit(1), F.coalesce("most", F.lit(1))))
+    met = found.select("source1_entity_id", "source", "block", "pos", "most", enough.alias("ids")).repartition("source1_entity_id")
+    pair = met.select("source1_entity_id", "source", "block", "pos", "most", F.explode("ids").alias("candidate_entity_id"))
+    pair = pair.groupBy("source1_entity_id", "source", "block", "candidate_entity_id").agg(F.min("pos").alias("pos"), F.count("*").alias("shared"), F.max("most").alias("most"))
     rank = F.when(F.col("block").isin(counted), -F.col("shared")).otherwise(F.col("pos")) if counted else F.col("pos")
     place = F.row_number().over(W.partitionBy("source1_entity_id", "source", "block").orderBy(rank, "candidate_entity_id"))
     return pair.withColumn("place", place).where("most is null or place <= most").select("source1_entity_id", "candidate_entity_id", "source", "block", "place")
@@ -241,7 +245,10 @@ def fast_hits(queries: DataFrame, targets: DataFrame, names: list[str] | None =
     least, cap, limit = ({b.name: getattr(b, k) for b in blocks} for k in ("least", "cap", "limit"))
     filed = _stacked(targets, {b.name: b.targets() for b in blocks}).where(F.length("key") >= _of(least))
     filed = filed.withColumn("r", F.row_number().over(W.partitionBy(*_PLACE).orderBy("entity_id", "pos"))).where(F.col("r") <= _of(cap))
+    lists = filed.groupBy(*_PLACE).agg(F.array_sort(F.collect_list(F.struct("r", "entity_id"))).alias("ids"))
     asked = _stacked(queries, {b.name: b.queries() for b in blocks}).withColumnRenamed("entity_id", "source1_entity_id").drop("source")
-    found = asked.join(filed.select(F.col("entity_id").alias("candidate_entity_id"), *_PLACE, "r"), ["country", "block", "key"])
+    # no more than the limit of any one list can count
+    met = asked.join(lists, ["country", "block", "key"]).select("source1_entity_id", "source", "block", "pos", F.slice("ids", F.lit(1), _of(limit)).alias("ids")).repartition("source1_entity_id")
+    found = met.select("source1_entity_id", "source", "block", "pos", F.explode("ids").alias("x")).select("*", "x.r", F.col("x.entity_id").alias("candidate_entity_id"))
     place = F.row_number().over(W.partitionBy("source1_entity_id", "source", "block").orderBy("pos", "r"))
     return found.withColumn("place", place).where(F.col("place") <= _of(limit)).select("source1_entity_id", "candidate_entity_id", "source", "block").distinct()

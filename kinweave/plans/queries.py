@@ -38,7 +38,8 @@ def _normed(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    n = _normed(spark, sf_dir)
+    # read by several branches of each plan
+    n = _normed(spark, sf_dir).persist()
     return n.where("entity_id like 'S1-%'"), n.where("entity_id not like 'S1-%'")
 
 
@@ -758,9 +759,9 @@ def _classical(spark, sf_dir):
     return q.select(F.col("id").alias("query_id"), "label").join(t.where("id % 7 = 0").select(F.col("id").alias("target_id"), "label"), "label").select("query_id", "target_id", F.array(F.lit("classical")).alias("blocks"))
 
 
-@query("hybrid_candidates", O.with_(_DENSE, _CLASSICAL, select="SELECT coalesce(c.query_id, t.query_id) AS query_id, coalesce(c.target_id, t.target_id) AS target_id, coalesce(blocks, 'embedding') AS blocks, rank AS embedding_rank, rank IS NOT NULL AS embedding_hit FROM cl c FULL JOIN (SELECT * FROM top WHERE rank <= 25) t ON t.query_id = c.query_id AND t.target_id = c.target_id"))
+@query("hybrid_candidates", O.with_(_DENSE, _CLASSICAL, select="SELECT coalesce(c.query_id, t.query_id) AS query_id, coalesce(c.target_id, t.target_id) AS target_id, coalesce(blocks, 'embedding') AS blocks, coalesce(rank, 999) AS embedding_rank, rank IS NOT NULL AS embedding_hit FROM cl c FULL JOIN (SELECT * FROM top WHERE rank <= 25) t ON t.query_id = c.query_id AND t.target_id = c.target_id"))
 def hybrid_candidates(spark, sf_dir):
-    return dense.hybrid(_classical(spark, sf_dir), _dense(spark, sf_dir, 25), 25).withColumn("blocks", F.array_join("blocks", ","))
+    return dense.hybrid(_classical(spark, sf_dir), _dense(spark, sf_dir, 25), 25).withColumn("blocks", F.array_join("blocks", ",")).na.fill(999, ["embedding_rank"])
 
 
 @query("dense_rank_of", O.with_(_DENSE, _CLASSICAL, select="SELECT c.query_id, c.target_id, coalesce(rank, 999) AS rank FROM cl c LEFT JOIN top t ON t.query_id = c.query_id AND t.target_id = c.target_id"))
@@ -832,7 +833,7 @@ def hybrid_sampled(spark, sf_dir):
     O.over_hits(
         ["exact_name"],
         """
-SELECT m.source1_entity_id, m.candidate_entity_id, r.rank AS embedding_rank, CASE WHEN r.rank <= 10 AND coalesce(k.score, 0.0) >= 0.5 THEN 'A accepted' WHEN r.rank <= 10 THEN 'B rejected' ELSE 'C not retrieved' END AS status
+SELECT m.source1_entity_id, m.candidate_entity_id, coalesce(r.rank, 999) AS embedding_rank, CASE WHEN r.rank <= 10 AND coalesce(k.score, 0.0) >= 0.5 THEN 'A accepted' WHEN r.rank <= 10 THEN 'B rejected' ELSE 'C not retrieved' END AS status
 FROM missed m LEFT JOIN ranked r ON r.source1_entity_id = m.source1_entity_id AND r.candidate_entity_id = m.candidate_entity_id LEFT JOIN scored k ON k.source1_entity_id = m.source1_entity_id AND k.candidate_entity_id = m.candidate_entity_id""",
         _MISSED, ",".join([O.fast_hits(name="fast").replace("lim AS", "flim AS").replace("JOIN lim", "JOIN flim").replace("flim.block", "flim.block").replace("lim.block", "lim.block").replace("filed AS", "ffiled AS").replace("JOIN filed", "JOIN ffiled").replace("asked AS", "fasked AS").replace("FROM asked", "FROM fasked").replace("fflim", "flim").replace("ON lim.block", "ON flim.block"), O.united(config.RANK_WEIGHTS, "fast"), O.ranked(["support", "strength", "candidate_entity_id"], 20, False)]), O.RULE,
     ),
@@ -842,7 +843,7 @@ def recovery_status(spark, sf_dir):
     q, t = _sides(spark, sf_dir)
     ranked = candidates.production_ranked(blocking.fast_hits(q, t))
     missed = forensics.misses(_truth(spark, sf_dir), blocking.research_hits(q, t, ["exact_name"]))
-    return forensics.recovery(missed, ranked.withColumnRenamed("rank", "embedding_rank"), features.rule_scores(ranked, q, t), 0.5, 10)
+    return forensics.recovery(missed, ranked.withColumnRenamed("rank", "embedding_rank"), features.rule_scores(ranked, q, t), 0.5, 10).na.fill(999, ["embedding_rank"])
 
 
 @query(

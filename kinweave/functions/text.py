@@ -108,6 +108,7 @@ def postal_code(address: Column) -> Column:
     return F.coalesce(last(rf"{_B}\p{{Nd}}{{5}}-\p{{Nd}}{{4}}{_E}"), last(rf"{_B}[1-9]\p{{Nd}}{{5}}{_E}"), five, F.lit(""))
 
 
+# Patterns of house numbers, in the order in which they are tried.
 _HOUSE = [
     rf"(?i){_B}(?:no|door\s*no|plot|flat|tower|block|house\s*no|bldg\s*no)[\s.:#-]*([0-9]+[a-z]?(?:[-/][0-9a-z]+)?){_E}",
     rf"(?i){_B}([0-9]+(?:\s*(?:bis|ter))?)\s+(?:rue|avenue|av|boulevard|bd|chemin|all|impasse){_E}",

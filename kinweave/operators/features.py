@@ -94,6 +94,7 @@ def base_features(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns(own).withColumns(derived)
 
 
+# Names and order of the base features.
 FEATURES = [
     "exact_name_match", "exact_name_core_match", "name_jaro_winkler", "name_levenshtein_sim", "name_token_jaccard", "name_token_overlap",
     "name_sorted_token_sim", "name_char_3gram_jaccard", "name_len_diff", "name_len_ratio", "name_token_count_diff", "first_token_match",

@@ -32,6 +32,7 @@ def _grams(x: str) -> str:
 _SUFFIX = "|".join(sorted(config.LEGAL_SUFFIXES, key=len, reverse=True))
 _ABBREVIATED = "CASE t " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in config.ADDRESS_WORDS.items()) + " ELSE t END"
 _A = "coalesce(business_address, '')"
+# Patterns of house numbers, in the order in which they are tried.
 HOUSE = [
     r"(?i)\b(?:no|door\s*no|plot|flat|tower|block|house\s*no|bldg\s*no)[\s.:#-]*([0-9]+[a-z]?(?:[-/][0-9a-z]+)?)\b",
     r"(?i)\b([0-9]+(?:\s*(?:bis|ter))?)\s+(?:rue|avenue|av|boulevard|bd|chemin|all|impasse)\b",

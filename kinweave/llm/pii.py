@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 _LOCAL = "A-Za-z0-9._%+-"
-#: Base kinds in their order. The possessive and anchored forms match what the plain forms in PLAIN match.
+# The base kinds in their order. The possessive and anchored forms match what the plain forms in PLAIN match.
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",

@@ -275,6 +275,19 @@ def test_edited_texts(spark, docs, rows, edge):
     assert sum(r.near_edited for r in got.values()) > 3 * sum(r.near_next for r in got.values())
 
 
+def test_near_pairs(docs):
+    sigs = {r.doc_id: frozenset(r.signatures) for r in spot_sigs.fingerprints(docs).collect()}
+    first = {}
+    for i in sorted(sigs):
+        first.setdefault(sigs[i], i)
+    members, pairs = spot_sigs.near_pairs(docs, 0.6)
+    assert {r.doc_id: r.rep for r in members.collect()} == {i: first[s] for i, s in sigs.items()}
+    reps = sorted(first.values())
+    want = {(i, j) for n, i in enumerate(reps) for j in reps[n + 1 :] if len(sigs[i] & sigs[j]) >= 0.6 * len(sigs[i] | sigs[j]) > 0}
+    got = {tuple(sorted((r.rep_a, r.rep_b))) for r in pairs.collect()}
+    assert got == want and len(want) > 0
+
+
 def test_spots(spark):
     df = spark.createDataFrame([(1, "The cat of the house sat."), (2, "cat house"), (3, "%%"), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r.signatures for r in spot_sigs.fingerprints(df).collect()}

@@ -43,9 +43,13 @@ def _place():
 
 
 def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows whose key repeats, with rank: the first place that has it."""
+    """rows whose key repeats, with rank: the first place that has it.
+
+    The firsts are written before the join: read again, both sides are dealt out for the join alone, and adaptive
+    execution can split the partition of a key that holds a large share of the rows.
+    """
     firsts = rows.groupBy(*key).agg(F.min(_place()).alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(firsts, key)
+    return rows.join(common.stored(firsts, "firsts"), key)
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

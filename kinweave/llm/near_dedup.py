@@ -308,7 +308,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Confirmed links (u, v) between representatives that give the same components as all links; None without any list."""
     posts = reps.select("rep", F.posexplode("values").alias("band", "value"))
-    heads = posts.groupBy("value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+    # what is grouped by value is written before it is joined: both sides of such a join are then dealt out for it alone,
+    # and adaptive execution can split the partition of a long list
+    heads = common.stored(posts.groupBy("value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "heads")
     lists = common.stored(posts.join(heads, "value"), "lists")
     ids = common.stored(lists.select("rep").distinct(), "candidates")
     n = ids.count()
@@ -330,7 +332,7 @@ def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
         return full.mapInPandas(_confirmed(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     links = common.stored(checked(lists.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "links")
-    scratch = [lists, ids, sets, sigs, links]
+    scratch = [heads, lists, ids, sets, sigs, links]
     more = None
     for step in range(ROUNDS):
         found = common.stored(components(links), "components")
@@ -343,10 +345,10 @@ def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
             more = confirmed(_remainder(spread, sigs, percent))
             break
         # the smallest member outside the first pivot's component is the next pivot
-        nxt = spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("p"))
+        nxt = common.stored(spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("p")), "pivots")
         pairs = spread.join(nxt, "value").where("comp <> p.comp").select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct()
         links = common.stored(links.union(checked(pairs)), "links")
-        scratch.append(links)
+        scratch += [nxt, links]
     out = common.stored(links if more is None else links.union(more), "links")
     common.dropped(*scratch)
     return out
@@ -358,7 +360,10 @@ def _spread(lists: DataFrame, comps: DataFrame) -> DataFrame:
     state = members.groupBy("value").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.when(F.col("rep") == F.col("pivot"), F.col("comp"))).alias("pivot_comp")
     )
-    return common.stored(members.join(state.where("lo <> hi").select("value", "pivot_comp"), "value"), "spread")
+    state = common.stored(state.where("lo <> hi").select("value", "pivot_comp"), "state")
+    out = common.stored(members.join(state, "value"), "spread")
+    common.dropped(state)
+    return out
 
 
 def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -372,7 +377,7 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     most = spread.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(
         F.max(F.struct("c", "comp"))["comp"].alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")
     )
-    members = spread.join(most, "value").join(sigs, "rep").select(
+    members = spread.join(common.stored(most, "most"), "value").join(sigs, "rep").select(
         "value", "band", "rep", "comp", "n", "sig", "parity", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
         (F.col("blocks") > 1).alias("cut"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"),
         F.when(F.col("blocks") > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(groups))).alias("group"),

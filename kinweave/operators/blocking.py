@@ -138,10 +138,6 @@ def _web_of_norm() -> Column:
     return _one(X.name_web_collapsed(F.col("name_norm"), unicode=False))
 
 
-def _postal_if_housed() -> Column:
-    return F.when(F.col("house_number") != "", _with_first("postal_code", "_", _plain_tokens())).otherwise(F.array().cast("array<string>"))
-
-
 FAST = {
     b.name: b
     for b in [
@@ -150,7 +146,7 @@ FAST = {
         FastBlock("rare_token", lambda: F.slice(_plain_tokens(), 1, 3), lambda: F.slice(_plain_tokens(), 1, 2), 3, 200, 40),
         FastBlock("char_3gram_k10", lambda: F.slice(_grams(), 1, 5), lambda: F.slice(_grams(), 1, 4), 3, 100, 10),
         FastBlock("house_name", lambda: _housed(F.slice(_plain_tokens(), 1, 3)), lambda: _housed(F.slice(_plain_tokens(), 1, 3)), 2, 100, 30),
-        FastBlock("combined_postal_name", _postal_if_housed, lambda: _with_first("postal_code", "_", _plain_tokens()), 2, 100, 30),
+        FastBlock("combined_postal_name", lambda: _with_first("postal_code", "_", _plain_tokens()), lambda: _with_first("postal_code", "_", _plain_tokens()), 2, 100, 30),
         FastBlock("address_token", lambda: _address_words(F.slice(F.col("address_tokens"), 1, 2)), lambda: F.slice(_address_words(F.col("address_tokens")), 1, 2), 4, 150, 30),
         FastBlock("name_web_norm", _web_of_norm, lambda: _one(_web()), 4, 200, 40),
         FastBlock("house_token", lambda: _housed(F.slice(_plain_tokens(), 1, 3)), lambda: _housed(F.slice(_plain_tokens(), 1, 3)), 3, 150, 30),

@@ -173,7 +173,7 @@ FAST = {
     "rare_token": (f"({_PLAIN})[1:3]", f"({_PLAIN})[1:2]", 3, 200, 40),
     "char_3gram_k10": (f"({_GRAMS})[1:5]", f"({_GRAMS})[1:4]", 3, 100, 10),
     "house_name": (_P3, _P3, 2, 100, 30),
-    "combined_postal_name": (f"CASE WHEN house_number <> '' THEN {_first('postal_code', '_', _PLAIN)} ELSE [] END", _first("postal_code", "_", _PLAIN), 2, 100, 30),
+    "combined_postal_name": (_first("postal_code", "_", _PLAIN), _first("postal_code", "_", _PLAIN), 2, 100, 30),
     "address_token": ("list_filter(address_tokens[1:2], lambda t: length(t) >= 4 AND NOT regexp_matches(t, '^[0-9]+$'))", f"({_W4})[1:2]", 4, 150, 30),
     "name_web_norm": (_WEB_OF_NORM, _one("name_web_collapsed"), 4, 200, 40),
     "house_token": (_P3, _P3, 3, 150, 30),

@@ -44,6 +44,8 @@ BLOCK = 256
 LEAST_BITS, MOST_BITS = 2048, 32768
 #: Rows of short lists in a group of the exact remainder, and pairs compared at a time.
 GROUP, PAIRS = 2000, 20_000
+#: Links in a file between two steps of the components.
+EDGES = 50_000
 #: Ids of candidate documents are broadcast up to this many, 8 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -243,18 +245,19 @@ def components(edges: DataFrame) -> DataFrame:
     two numbers reaches the driver. The steps end when every id points at one that points nowhere.
     """
     now = common.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    files = max(1, now.count() // EDGES)
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = common.stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = common.stored(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "links")
         common.dropped(now)
         now = after
         ends = now.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)")
-        if open_.isEmpty():
+        if not open_.coalesce(files).agg(F.count("*")).first()[0]:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 

@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is cut, from left to right,
-into the longest phrases that the automaton reads from its root; the language whose automaton needs the fewest phrases
-per letter wins. All automata hold the same number of characters, so phrase counts compare directly.
+into the longest phrases that the automaton reads from its root. A phrase is a pointer into the training text, so it
+costs the logarithm of that text's length; the language whose phrases cost the fewest bits wins. Languages may thus
+differ in how much text they have, and a label with little text changes no other language's automaton.
 
-Bounds (they concern the fit only): SAMPLE_ROWS labelled rows of each language, chosen by a hash of the id, and of these
+Bounds (they concern the fit only): SAMPLE_ROWS labelled rows of each language whose text has a letter, chosen by a hash of the id, and of these
 pieces, chosen by a hash as well, up to TRAIN_CHARS characters in all for a language (less if there are so many
 languages that the automata of all would pass TOTAL_CHARS). Every text is parsed whole. The broadcast holds the sampled
 text, at most TOTAL_CHARS characters; workers build the automata from it.
@@ -44,14 +45,15 @@ def learnable(id_col: str = "doc_id"):
 
 def training_text(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, str]:
     """The bounded sample: up to TRAIN_CHARS characters of pieces for each label, on the driver."""
-    rows = docs.where(learnable(id_col) & F.col(lang_col).isNotNull()).select(
+    usable = docs.where(learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = usable.select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")
     )
     picked = rows.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= SAMPLE_ROWS)
     ids = [r[0] for r in picked.select("id").distinct().collect()]  # SAMPLE_ROWS for each label at most
     if not ids:
         return {}
-    sample = docs.where(learnable(id_col) & F.col(lang_col).isNotNull() & F.col(id_col).isin(ids)).select(
+    sample = usable.where(F.col(id_col).isin(ids)).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), common.whole_text(text_col).alias("text")
     )
     starts = F.sequence(F.lit(0), F.floor(F.char_length("text") / SAMPLE_PIECE).cast("int"))
@@ -63,9 +65,7 @@ def training_text(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="l
     for lang, piece in top.where(F.col("r") <= TRAIN_CHARS // SAMPLE_PIECE * 2).orderBy("lang", "r").select("lang", "piece").collect():
         found.setdefault(lang, []).append(piece)
     budget = max(1000, min(TRAIN_CHARS, TOTAL_CHARS // max(1, len(found))))
-    joined = {lang: " ".join(pieces) for lang, pieces in found.items()}
-    least = min((len(t) for t in joined.values()), default=0)
-    return {lang: t[: max(1, min(budget, least))] for lang, t in joined.items()}
+    return {lang: " ".join(pieces)[:budget] for lang, pieces in found.items()}
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -115,7 +115,10 @@ class CrossParser:
         for i, c in enumerate(known):
             self.table[c] = FIRST + i
         self.width = FIRST + len(known)
-        tables = [automaton(self.symbols(t).tolist(), self.width) for t in lowered]
+        trained = [self.symbols(t).tolist() for t in lowered]
+        tables = [automaton(t, self.width) for t in trained]
+        #: Bits of a phrase in each language: where it stands in the training text.
+        self.bits = np.log2([max(2, len(t)) for t in trained])
         self.base = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int64)
         roots = [np.maximum(t[0], 0) + b for t, b in zip(tables, self.base)]
         self.absent = np.stack([t[0] < 0 for t in tables]) if tables else np.empty((0, self.width), bool)
@@ -165,17 +168,17 @@ class CrossParser:
         return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text: score is by what share fewer phrases the winner needs than the runner-up."""
+        """Language and score of each text: score is by what share fewer bits the winner's phrases need than the runner-up's."""
         coded = [self.symbols((t or "").lower()) for t in texts]
         found = []
         for x, counts in zip(coded, self.phrases(coded)):
             if not len(self.langs) or not (x >= OTHER).any():
                 found.append((UNDETERMINED, 0.0))
                 continue
-            counts = counts + 1
-            best = int(counts.argmin())
-            second = min((int(n) for i, n in enumerate(counts) if i != best), default=0)
-            found.append((self.langs[best], 1.0 if not second else float(second - counts[best]) / second))
+            cost = (counts + 1) * self.bits
+            best = int(cost.argmin())
+            second = min((float(n) for i, n in enumerate(cost) if i != best), default=0.0)
+            found.append((self.langs[best], 1.0 if not second else float(second - cost[best]) / second))
         return found
 
 

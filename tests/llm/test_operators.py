@@ -110,6 +110,18 @@ def test_language_phrases():
         assert all(w - 1 <= g <= w for g, w in zip(got, want)), (text, got, want)
 
 
+def test_language_rare_label(spark):
+    """One short document of a rare label, and one with many empty rows, leave the others' training text alone."""
+    d = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**6 + i, t, x) for x, ts in {"xx": ["zwok plimf urga tenk ovli dasp quor bint yelm frand"] * 8, "yy": [None, "", "123"] * 400}.items() for i, t in enumerate(ts, 1000 * (x == "yy"))], "doc_id long, text string, lang string")
+    few = rare.where("lang = 'xx'").where(language_id.learnable()).limit(1)
+    mute = spark.range(2 * 10**6, 2 * 10**6 + 4000).selectExpr("id as doc_id", "'1 2'", "'en'")
+    texts = language_id.training_text(d.union(few).union(rare.where("lang = 'yy'")).union(mute))
+    assert sorted(texts) == ["de", "en", "es", "fr", "xx"] and all(len(t) == language_id.TRAIN_CHARS for x, t in texts.items() if x != "xx")
+    got = language_id.identify(d, texts).join(d.select("doc_id", "lang"), "doc_id")
+    assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
+
+
 def test_language_edge(edge, empty):
     got = {r.doc_id: r for r in language_id.identify(edge).collect()}
     assert got[4].lang_pred == got[5].lang_pred == got[6].lang_pred == got[10].lang_pred == "und" or got[10].lang_pred

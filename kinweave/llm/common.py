@@ -76,7 +76,21 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def without(docs: DataFrame, out: DataFrame, id_col: str) -> DataFrame:
-    """docs without the ids in out's column __out, all columns as they were; ids identify documents, so rows that repeat
-    the id of a dropped row go with it."""
-    return docs.join(out, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == out["__out"], "left_anti")
+def row_key(id_col: str, text_col: str = "text") -> Column:
+    """Hash of a row's id and text: rows that share an id, or have none, differ by their text. Equal rows share it."""
+    return F.xxhash64(id_in(id_col), whole_text(text_col))
+
+
+def without(docs: DataFrame, out: DataFrame, key: Column, once: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose key is in out's column __out, all columns as they were; of rows whose key is in
+    once's column __once, one stays."""
+    kept = docs.join(out, key == out["__out"], "left_anti")
+    if once is None:
+        return kept
+    one = kept.join(once, key == once["__once"], "left_semi").withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
+    return kept.join(once, key == once["__once"], "left_anti").unionByName(one)
+
+
+def repeated_keys(keys: DataFrame) -> DataFrame:
+    """__once: the values of the column key that several rows have."""
+    return keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("__once"))

@@ -34,14 +34,13 @@ def run_count(spark) -> int:
     return 1 << max(BITS, (common.partitions(spark) - 1).bit_length())
 
 
-def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text", own: tuple[Column, ...] = ()) -> DataFrame:
     text = common.whole_text(text_col)
     norm = docs.select(
-        common.id_in(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("n_cp"), normalised(text).alias("norm")
+        common.id_in(id_col).alias("doc_id"), *own, F.char_length(text).cast("long").alias("n_cp"), normalised(text).alias("norm")
     )
     return norm.select(
-        "doc_id",
-        "n_cp",
+        *norm.columns[:-1],
         F.unhex(F.sha2("norm", 256)).alias("digest"),
         F.struct(F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("h")).alias("proof"),
         F.pmod(F.xxhash64("doc_id", "n_cp"), F.lit(runs)).cast("int").alias("run"),
@@ -67,18 +66,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are ignored. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    runs = run_count(spark)
-    base = common.stored(digests(docs, runs, id_col, text_col), "digests")
-    first = _merged(
-        base.withColumn("best", F.struct((-F.col("n_cp")).alias("neg_cp"), F.col("doc_id"))), F.col("run"), F.lit(1).cast("long")
-    )
-    tree, left = first, runs
-    while left > 1:
-        left = max(1, left >> BITS)
-        tree = _merged(tree, F.col("run") % left, F.col("n"))
-    winners = tree.select("digest", "proof", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"))
-    down = first.select("digest", "proof", "run").join(winners, ["digest", "proof"])
+    base, down = _grouped(docs, id_col, text_col)
     return base.join(down, ["digest", "proof", "run"]).select(
         common.id_out("doc_id"),
         common.id_out("keep_id"),
@@ -88,10 +76,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, *own: Column) -> tuple[DataFrame, DataFrame]:
+    """The digests of docs, with the columns own, and keep_id, group_size and own's keep_... by (digest, proof, run)."""
+    runs = run_count(docs.sparkSession)
+    base = common.stored(digests(docs, runs, id_col, text_col, own), "digests")
+    more = base.columns[1 : 1 + len(own)]
+    first = _merged(
+        base.withColumn("best", F.struct((-F.col("n_cp")).alias("neg_cp"), "doc_id", *more)), F.col("run"), F.lit(1).cast("long")
+    )
+    tree, left = first, runs
+    while left > 1:
+        left = max(1, left >> BITS)
+        tree = _merged(tree, F.col("run") % left, F.col("n"))
+    winners = tree.select("digest", "proof", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), *[F.col(f"best.{c}").alias(f"keep_{c}") for c in more])
+    return base, first.select("digest", "proof", "run").join(winners, ["digest", "proof"])
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the later copies, all columns as they were."""
-    out = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(common.id_in("doc_id").alias("__out")).distinct()
-    return common.without(docs, out, id_col)
+    """docs without the later copies, all columns as they were. Rows are told apart by id and text; of equal rows one stays."""
+    key = common.row_key(id_col, text_col)
+    base, down = _grouped(docs, id_col, text_col, key.alias("key"))
+    out = base.join(down, ["digest", "proof", "run"]).where("key <> keep_key").select(F.col("key").alias("__out")).distinct()
+    return common.without(docs, out, key, common.repeated_keys(base))
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -221,10 +221,13 @@ def identify(docs: DataFrame, texts: dict[str, str] | None = None, id_col: str =
     return out.select(common.id_out("doc_id"), "lang_pred", "score").select("doc_id", (~learnable("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose language can't be told (und), all columns as they were."""
-    found = identify(docs, id_col=id_col).where(F.col("lang_pred") == UNDETERMINED).select(common.id_in("doc_id").alias("__out")).distinct()
-    return common.without(docs, found, id_col)
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language can't be told (und), all columns as they were. A row goes by its own text,
+    whatever other rows have its id."""
+    key = common.row_key(id_col, text_col)
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("text"))
+    found = identify(keyed, training_text(docs, id_col, text_col), "key").where(F.col("lang_pred") == UNDETERMINED)
+    return common.without(docs, found.select(common.id_in("doc_id").alias("__out")).distinct(), key)
 
 
 def op2_language_id(spark, sf_dir):

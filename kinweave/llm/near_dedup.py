@@ -398,9 +398,19 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that near_duplicates() does not keep, all columns as they were."""
-    out = near_duplicates(docs, k, percent, id_col, text_col).where(~F.col("kept")).select(common.id_in("doc_id").alias("__out")).distinct()
-    return common.without(docs, out, id_col)
+    """docs with one row of each component of near_duplicates(), all columns as they were: that of the smallest id.
+
+    Rows are told apart by id and text, so a repeated or null id stands for each of its texts; of equal rows that have
+    words one stays.
+    """
+    key = common.row_key(id_col, text_col)
+    ids = common.stored(docs.select(key.alias("key"), common.id_in(id_col).alias("id")), "keys")
+    found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), k, percent, "key")
+    found = common.stored(found.select(common.id_in("doc_id").alias("key"), "n_shingles", common.id_in("component_id").alias("comp")).distinct().join(ids.distinct(), "key"), "found")
+    stay = found.groupBy("comp").agg(F.min(F.struct("id", "key"))["key"].alias("key"))
+    out = found.join(stay, "key", "left_anti").select(F.col("key").alias("__out"))
+    once = common.repeated_keys(ids).join(found.where("n_shingles > 0").select(F.col("key").alias("__once")), "__once", "left_semi")
+    return common.without(docs, out, key, once)
 
 
 def op9_minhash_near_dedup(spark, sf_dir):

@@ -5,7 +5,7 @@ import hashlib
 import brute
 
 import corpus_pipeline
-from kinweave.llm import common, language_id
+from kinweave.llm import common, exact_dedup, language_id, near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +33,24 @@ def test_stages_keep_columns(spark, folder):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_rows_without_own_id(spark):
+    """A row that is dropped takes no other row of its id, or without an id, with it; of equal rows one stays."""
+    import random
+
+    rng = random.Random(7)
+    text = [" ".join(f"w{c}x".translate(str.maketrans("0123456789", "abcdefghij")) for c in (rng.randrange(10**6) for _ in range(60))) for _ in range(5)]
+    near = text[0].rsplit(" ", 1)[0] + " zebra"
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, near), (None, "12 34"), (None, None), (None, text[2]), (4, text[3]), (4, text[3]), (4, "56"), (5, text[4]), (5, near), (5, text[1] + " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    told = language_id.accepted(docs)
+    assert sorted(t for t in (r.text for r in told.collect())) == sorted(t for _, t in rows if t and "w" in t)
+    once = exact_dedup.deduplicated(docs.where("text like 'w%'"))
+    assert sorted((r.doc_id or 0, r.text) for r in once.collect()) == sorted([(1, text[0]), (5, text[1] + " "), (5, near), (0, text[2]), (4, text[3]), (5, text[4])])
+    left = near_dedup.without_near_copies(docs.where("text like 'w%'"))
+    want = sorted([(1, text[0]), (5, text[1] + " "), (0, text[2]), (4, text[3]), (5, text[4])])
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == want
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = common.stored(stage(spark, docs, ""), "stage")
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect()) == want

@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
-All of it is one projection over the whole text. A pattern's matches come from regexp_extract_all and the gaps between
-them from split with the same pattern, so that starts and ends (code points) follow by adding up lengths. Repetitions of
-groups are possessive and anchored at the start of a run: they run in linear time and without recursion on texts of any
-length.
+All of it is one projection over the whole text, with one pass for each pattern (see spans.py). Repetitions of groups are
+possessive and anchored at the start of a run: they run in linear time and without recursion on texts of any length.
+
+The context of a span are the WINDOW code points on either side of it, up to the neighbouring match of its kind. Whole
+words there that belong to the kind raise its score, words of things that only look alike lower it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .spans import spans
 
 _LOCAL = "A-Za-z0-9._%+-"
 # The base kinds in their order. The possessive and anchored forms match what the plain forms in PLAIN match.
@@ -34,19 +36,33 @@ PLAIN = {
 BASE = ["email", "ip", "card", "phone"]
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP = rf"^{BYTE}[.]{BYTE}[.]{BYTE}[.]{BYTE}$"
-#: Score of a confirmed span before its context, and the words that raise it by BOOST if they stand in the WINDOW before it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+#: Score in percent of a confirmed span before its context.
+SCORES = {"email": 90, "ip": 60, "card": 70, "phone": 60, "iban": 70, "ssn": 30}
+#: Words that raise a score by SHIFT, and words that lower it, if they stand within WINDOW before or after the span.
 CONTEXT = {
-    "email": "(?i)(mail|contact|kontakt|courriel|correo)",
-    "ip": "(?i)(ip|host|server|address|adresse)",
-    "card": "(?i)(card|visa|credit|karte|carte|tarjeta)",
-    "phone": "(?i)(phone|tel|call|mobile|fax|handy)",
-    "iban": "(?i)(iban|account|bank|konto|compte|cuenta)",
-    "ssn": "(?i)(ssn|social security|insurance)",
+    "email": "mail|e-mail|email|contact|kontakt|courriel|correo",
+    "ip": "ip|host|server|address|adresse",
+    "card": "card|visa|credit|karte|carte|tarjeta",
+    "phone": "phone|telephone|tel|call|mobile|fax|handy",
+    "iban": "iban|account|bank|konto|compte|cuenta",
+    "ssn": "ssn|social security|insurance",
+}
+COUNTER = {
+    "email": "example|sample",
+    "ip": "version|release|build|section|chapter",
+    "card": "order|invoice|isbn|tracking|serial|part",
+    "phone": "order|invoice|isbn|version|part",
+    "iban": "part|serial|model|product",
+    "ssn": "part|order|invoice|serial|model",
 }
-WINDOW, BOOST = 40, 0.3
+WINDOW, SHIFT = 40, 30
 #: Spans beyond the base kinds count from this score up; base spans always stay.
-LEAST = 0.5
+LEAST = 50
+
+
+def _words(words: str) -> str:
+    """A pattern that finds one of the words between characters that are no letters."""
+    return rf"(?i)(^|[^\p{{L}}])({words})($|[^\p{{L}}])"
 
 
 def _luhn(d: Column) -> Column:
@@ -82,41 +98,27 @@ def _confirmed(kind: str, m: Column) -> Column:
 
 def _found(kind: str, text: Column) -> Column:
     """All confirmed spans of the kind: array of (kind, start, end, match, score)."""
-    kind_type = "array<struct<kind:string,start:int,end:int,match:string,score:double>>"
-    p = PATTERNS[kind]
-    matches, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    size = F.char_length
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + size(x["gap"]) + size(x["match"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + size(x["gap"])).alias("start"), (acc["at"] + size(x["gap"]) + size(x["match"])).alias("end"), x["match"].alias("match"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    start = lambda x: F.greatest(F.lit(1), x["start"] - WINDOW + 1)
-    near = lambda x: F.substring(text, start(x), x["start"] + 1 - start(x))
+    kind_type = "array<struct<kind:string,start:int,end:int,match:string,score:int>>"
+
+    def score(x: Column) -> Column:
+        near = F.concat(x["before"], F.lit("|"), x["after"])
+        raised = F.lit(SCORES[kind]) + F.when(near.rlike(_words(CONTEXT[kind])), SHIFT).otherwise(0) - F.when(near.rlike(_words(COUNTER[kind])), SHIFT).otherwise(0)
+        return F.greatest(F.lit(0), F.least(F.lit(100), raised))
+
     scored = F.transform(
-        F.filter(walked, lambda x: _confirmed(kind, x["match"])),
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
-            F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(x).rlike(CONTEXT[kind]), BOOST).otherwise(0.0)).alias("score"),
-        ),
+        F.filter(spans(text, PATTERNS[kind], WINDOW), lambda x: _confirmed(kind, x["match"])),
+        lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), score(x).alias("score")),
     )
-    kept = scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST)
-    return F.when(text.rlike(p), kept).otherwise(F.array()).cast(kind_type)
+    return (scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST)).cast(kind_type)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and one array column for each kind, of (kind, start, end, match, score), in order of start.
 
-    Null text counts as empty. Spans of one kind don't overlap; those of different kinds may. Repeated rows are each
-    searched; extra columns are ignored; an empty table gives an empty result.
+    The score is in percent. Null text counts as empty. Spans of one kind don't overlap; those of different kinds may.
+    Time grows with the length of a text and of its matches, however many. Null ids, repeated ids and repeated rows are
+    each searched as they are; extra columns are ignored, also those named like inner ones; an empty table gives an empty
+    result.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), common.whole_text(text_col).alias("__text"))
     return plain.select("doc_id", *[_found(kind, F.col("__text")).alias(kind) for kind in PATTERNS])
@@ -133,6 +135,7 @@ def op8_pii(spark, sf_dir):
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(BASE).cast("binary"), 256).alias("base_sha256"),
         _joined(list(PATTERNS)).alias("spans"),
+        F.array_join(F.flatten(F.array(*[F.transform(F.col(k), lambda x: x["score"].cast("string")) for k in PATTERNS])), ",").alias("scores"),
     )
 
 
@@ -149,18 +152,20 @@ def _oracle() -> str:
     }
     parts = []
     for n, kind in enumerate(PATTERNS):
-        least = "" if kind in BASE else f" AND {SCORES[kind]} + CASE WHEN regexp_matches(substr(t, greatest(1, s - {WINDOW} + 1), s + 1 - greatest(1, s - {WINDOW} + 1)), '{CONTEXT[kind]}') THEN {BOOST} ELSE 0 END >= {LEAST}"
+        near = f"(right(before, {WINDOW}) || '|' || left(after, {WINDOW}))"
+        score = f"greatest(0, least(100, {SCORES[kind]} + CASE WHEN regexp_matches({near}, '{_words(CONTEXT[kind])}') THEN {SHIFT} ELSE 0 END - CASE WHEN regexp_matches({near}, '{_words(COUNTER[kind])}') THEN {SHIFT} ELSE 0 END))"
+        least = "" if kind in BASE else f" WHERE score >= {LEAST}"
         parts.append(
-            f"SELECT doc_id, {n} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (SELECT doc_id, t, ms[i] AS m, "
+            f"SELECT * FROM (SELECT doc_id, {n} AS k, '{kind}' AS kind, s, s + length(m) AS e, {score} AS score FROM (SELECT doc_id, ms[i] AS m, gaps[i] AS before, gaps[i + 1] AS after, "
             f"CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s "
-            f"FROM (SELECT doc_id, t, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{PLAIN[kind]}') AS ms, string_split_regex(t, '{PLAIN[kind]}') AS gaps FROM d))) WHERE ({check[kind]}){least}"
+            f"FROM (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{PLAIN[kind]}') AS ms, string_split_regex(t, '{PLAIN[kind]}') AS gaps FROM d))) WHERE {check[kind]}){least}"
         )
     count = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)})
 SELECT d.doc_id, {count},
        sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < {len(BASE)}), '')) AS base_sha256,
-       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s), '') AS spans
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s), '') AS spans, coalesce(string_agg(CAST(score AS VARCHAR), ',' ORDER BY k, s), '') AS scores
 FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id
 """
 

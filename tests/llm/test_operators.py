@@ -267,11 +267,28 @@ def test_pii_spans(docs, rows, edge):
 def test_pii_more(spark, empty):
     df = spark.createDataFrame([(1, "iban DE89370400440532013000 or GB82 WEST 1234 5698 7654 32, not DE89370400440532013001"), (2, "my ssn 123-45-6789"), (3, "part 123-45-6789")], "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find_pii(df).collect()}
-    assert [x.match for x in got[1].iban] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"] and got[1].iban[0].score == 1.0
+    assert [x.match for x in got[1].iban] == ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"] and got[1].iban[0].score == 100
     assert len(got[2].ssn) == 1 and not got[3].ssn
+    near = [(1, "the ip is 10.0.0.1 here"), (2, "a description 10.0.0.1 of trips"), (3, "10.0.0.1 is our server"), (4, "version 10.0.0.1"), (5, "hotel +1 555 010 9999"), (6, "+1 555 010 9999 (tel)")]
+    got = {r.doc_id: [x.score for k in ("ip", "phone") for x in r[k]] for r in pii.find_pii(spark.createDataFrame(near, "doc_id long, text string")).collect()}
+    assert got == {1: [90], 2: [60], 3: [90], 4: [30], 5: [60], 6: [90]}
     assert pii.find_pii(empty).count() == 0
 
 
+def test_spans_take_linear_time(spark):
+    """Ten times as many matches in one text take no more than some twenty times as long."""
+    import time
+
+    took = []
+    for n in (5_000, 50_000):
+        df = spark.createDataFrame([(1, "id 4111 1111 1111 1111; " * n)], "doc_id long, text string").persist()
+        df.count()
+        begin = time.time()
+        assert pii.find_pii(df).select(F.size("card")).first()[0] == n
+        took.append(time.time() - begin)
+    assert took[1] < 20 * max(took[0], 0.5)
+
+
 # --- fingerprints
 def test_edited_texts(spark, docs, rows, edge):
     ids = sorted(i for i, _ in rows)

@@ -1,15 +1,17 @@
 """Line dedup over a suffix array of line sequences.
 
 Lines that are not blank are numbered through in each document. A suffix is a line and all that follow it in its
-document; its rank at length 2^k is the first place in the corpus where the same 2^k lines stand, so equal ranks mean
-equal lines, without any hash of sequences. Ranks double: the rank at 2^(k+1) is that of the pair of ranks at p and at
-p + 2^k. Suffixes that share a rank are one interval of the suffix array with a common prefix of at least that length;
-those alone in their interval leave, since no longer prefix of theirs can repeat.
-
-A repeated run counts from MIN_CHARS characters up, whatever its number of lines. For every line the shortest run from
-it forward, and the one backward, that reaches this size is looked up: its rank is the pair of the ranks of the two
-runs of 2^k lines that cover it. All but the first place of such a run are later copies. The shortest runs, forward and
-backward, of all lines cover just the lines of the maximal repeated runs, and these are deleted.
+document; its rank at length 2^k is the place of its first 2^k lines in the sorted order of all such sequences (the order
+of lines is that of their MD5). Ranks double: the sequences of 2^(k+1) lines sort as the pairs of the ranks at p and at
+p + 2^k, so each level sorts the distinct pairs over range partitions and numbers them through. Suffixes that share a rank
+are one interval of the suffix array whose longest common prefix is at least that long; those alone in their interval
+leave, since no longer prefix of theirs can repeat.
+
+A repeated run counts from MIN_CHARS characters up, whatever its number of lines: one line of that length, or several
+shorter ones. For every line the shortest run from it forward, and the one backward, that reaches this size is looked up:
+its rank is the pair of the ranks of the two runs of 2^k lines that cover it, and the array is sorted as deep as these runs
+need. All but the first place of such a run are later copies. The shortest runs, forward and backward, of all lines cover
+just the lines of the maximal repeated runs, and these are deleted.
 
 The first occurrence is that of the smallest (doc_id, hash of the text, line). Groupings are pre-aggregated and joins go
 by line or rank, so a line that stands in a third of all documents is never gathered in one place.
@@ -23,8 +25,8 @@ from pyspark.sql import Window as W
 
 from . import common
 
-#: Characters (of trimmed lines) from which a repeated run counts.
-MIN_CHARS = 100
+#: Characters (of trimmed lines) from which a repeated run counts: some three words. Shorter lines repeat by chance.
+MIN_CHARS = 20
 DOC = ["doc_id", "h"]
 
 
@@ -43,13 +45,22 @@ def _place():
 
 
 def _ranked(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows whose key repeats, with rank: the first place that has it.
+    """rows whose key repeats, with rank (of the key among such keys, in sorted order) and first (the first place that has it).
 
-    The firsts are written before the join: read again, both sides are dealt out for the join alone, and adaptive
-    execution can split the partition of a key that holds a large share of the rows.
+    The intervals are written before they are sorted and joined: read again, both sides are dealt out for the join alone,
+    and adaptive execution can split the partition of a key that holds a large share of the rows.
     """
-    firsts = rows.groupBy(*key).agg(F.min(_place()).alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(common.stored(firsts, "firsts"), key)
+    n = common.partitions(rows.sparkSession)
+    shared = common.stored(rows.groupBy(*key).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "intervals")
+    # partitions follow one another in key order, and so do the numbers
+    order = shared.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("rank", F.monotonically_increasing_id())
+    return rows.join(common.stored(order, "ranks"), key)
+
+
+def _copied(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows that are not the first place of their key."""
+    firsts = rows.groupBy(*key).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(common.stored(firsts, "firsts"), key).where(F.col("first") != _place())
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +98,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "d
     left = ranks.withColumnRenamed("rank", "left")
     right = ranks.select(*DOC, F.col("i").alias("at"), "size", F.col("rank").alias("next"))
     covered = runs.join(left, [*DOC, "i", "size"]).withColumn("at", F.expr("i + m - size")).join(right, [*DOC, "at", "size"])
-    later = _ranked(covered.select(*DOC, "i", "m", "left", "next"), ["m", "left", "next"]).where(F.col("rank") != _place())
+    later = _copied(covered.select(*DOC, "i", "m", "left", "next"), ["m", "left", "next"])
     marks = later.select(*DOC, F.explode(F.array(F.struct("i", F.lit(1).alias("d")), F.struct((F.col("i") + F.col("m")).alias("i"), F.lit(-1).alias("d")))).alias("x"))
     marks = marks.select(*DOC, "x.i", "x.d", F.lit(None).cast("int").alias("pos")).union(first.select(*DOC, "i", F.lit(0), "pos"))
     depth = marks.groupBy(*DOC, "i").agg(F.sum("d").alias("d"), F.max("pos").alias("pos")).withColumn("depth", F.sum("d").over(doc))
@@ -99,7 +110,9 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
 
     Null text counts as empty and has no lines. Blank lines are never deleted and don't break a run. Rows that repeat an
     id with the same text are taken as one document, so each loses the same lines; with other texts they follow each
-    other in the order of a hash of the text. Null ids come last, as one id. Extra columns are ignored, an empty table gives an empty result.
+    other in the order of a hash of the text. Null ids come last, as one id. Texts of any length are rebuilt in time that
+    grows with their lines. Extra columns are ignored, also those named like inner ones, and an empty table gives an empty
+    result.
     """
     gone = repeated_lines(docs, min_chars, id_col, text_col)
     run = F.col("i") - F.row_number().over(W.partitionBy(*DOC).orderBy("i"))
@@ -108,7 +121,15 @@ def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "
     text = common.whole_text(text_col)
     rows = docs.select(common.id_in(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     lines = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, p: ~F.array_contains("gone", p)), "\n"))
+    # one flag for each line: the deleted ones stand between runs of kept ones
+    gone, last = F.col("gone"), F.size("gone") - 1
+    flags = F.concat(
+        F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.repeat(F.lit("+"), F.get(gone, i) - F.coalesce(F.get(gone, i - 1), F.lit(-1)) - 1), F.lit("-"))), ""),
+        F.repeat(F.lit("+"), F.size(lines) - F.get(gone, last) - 1),
+    )
+    zipped = F.arrays_zip(lines.alias("line"), F.split(flags, "").alias("flag"))
+    left = F.array_join(F.transform(F.filter(zipped, lambda x: x["flag"] == "+"), lambda x: x["line"]), "\n")
+    kept = F.when(gone.isNull(), F.col("text")).otherwise(left)
     return rows.join(per, DOC, "left").select(
         common.id_out("doc_id"),
         F.when(F.col("text") == "", 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),

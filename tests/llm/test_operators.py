@@ -196,6 +196,34 @@ def test_line_edge(edge, empty):
     assert line_dedup.without_repeats(empty).count() == 0
 
 
+def test_short_boilerplate(spark):
+    """One line of MIN_CHARS characters is enough; shorter ones go only as part of a repeated run of that size."""
+    rows = [(1, "All rights reserved.\nOf.\nfirst"), (2, "second\nAll rights reserved."), (3, "Of.\nthird"), (4, "a\nlittle\nlist of things"), (5, "x\n\na\nlittle\nlist of things\ny"), (6, "little\nlittle")]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "second", 3: rows[2][1], 4: rows[3][1], 5: "x\n\ny", 6: rows[5][1]}
+
+
+def test_ranks_follow_the_order_of_lines(spark):
+    df = spark.createDataFrame([(i, 7, j, f"line {j % 5}") for i in range(9) for j in range(20)], "doc_id long, h long, i int, line string")
+    got = line_dedup._ranked(df, ["line"]).select("line", "rank").distinct().orderBy("rank").collect()
+    assert [r.line for r in got] == [f"line {j}" for j in range(5)]
+
+
+def test_rebuilt_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        text = "\n".join(f"line number {i} of a long text" for i in range(n))
+        df = spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id long, text string").persist()
+        df.count()
+        begin = time.time()
+        got = {r.doc_id: r for r in line_dedup.without_repeats(df).collect()}
+        assert got[2].text == "end" and got[2].n_deleted == n and got[1].n_deleted == 0
+        took.append(time.time() - begin)
+    assert took[1] < 20 * took[0]
+
+
 # --- secrets
 def test_secret_findings(spark):
     key = hashlib.sha256(b"k").hexdigest()[:40]

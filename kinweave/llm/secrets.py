@@ -1,16 +1,21 @@
 """Secret scans: candidate strings, and a random forest that removes the false positives.
 
-Candidates are runs of at least LEAST characters of keys, tokens and encodings that hold a digit. Each is described by its
-length, its transitions between kinds of characters, the share of it that dictionary words cover, whether it is part of
-a path, and the words next to it. A random forest, trained on labelled findings, gives the probability of a secret.
-
-The labelled findings are FINDINGS rows made by rule (real formats against hashes, ids, paths, slugs and placeholders in
-their usual surroundings): the corpus has no labels of this kind, and the bound on the fit is this constant. Scanning
+Candidates are whole runs of the characters of keys, tokens, encodings and passwords. A run is looked at if it has LONG
+characters and a digit, or SHORT characters and stands after an assignment sign or a secret word; the name on the left of
+an assignment is never part of it. Each candidate is described by its length, its transitions between kinds of characters,
+the share of it that dictionary words cover, whether it is part of a path, and the words next to it. A random forest,
+trained on labelled findings, gives the probability of a secret.
+
+Findings are labelled by sentence: a text and the secret in it, or none. The same candidate search runs over the
+sentences, so that the forest learns on what the scan can propose. The corpus has no labels of this kind: by default
+SENTENCES sentences are made by rule (the bound on the fit), and accuracy() measures formats that were left out. Scanning
 covers all rows and whole texts and runs in built-in functions and the JVM's forest only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,54 +23,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .spans import spans
 
-LEAST = 16
+LONG, SHORT = 16, 8
 #: Characters before and after a candidate that are looked at.
 NEAR = 32
-FINDINGS = 2400
-TREES, DEPTH, SEED = 24, 7, 17
+SENTENCES = 6000
+TREES, DEPTH, SEED = 32, 9, 17
 THRESHOLD = 0.5
-CANDIDATE = rf"(?:(?<![A-Za-z0-9_+/=.-])|\G)[A-Za-z0-9_+/=.-]{{{LEAST},}}+"
+SECRET_WORDS = "token|secret|password|passwd|pwd|passphrase|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key"
+OTHER_WORDS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|revision|etag|version|order|isbn|path|url|href|src|file"
+PLACEHOLDERS = "(your|example|sample|change|placeholder|dummy|insert|xxx|redacted|todo|(.)\\2{5})"
+_LETTERS = "A-Za-z_+/.~!@#$%^&*-"
+_RUN = f"[0-9{_LETTERS}]"
+#: Starts at the start of a run; what it asks before the run looks back a bounded way.
+CANDIDATE = (
+    rf"(?<!{_RUN})(?={_RUN}{{{SHORT}}})(?:(?=[{_LETTERS}]*+[0-9])(?={_RUN}{{{LONG}}})|(?<=[=:][ \t]{{0,2}}['\"`]?)|(?<=(?i:{SECRET_WORDS})[ \t]{{1,2}}(?:is[ \t])?['\"`]?))"
+    rf"{_RUN}++(?:={{1,2}}(?![A-Za-z0-9=]))?+"
+)
 #: Words whose presence in a candidate speaks for an identifier.
 DICTIONARY = "example sample test index static image content article page user admin default config public private version release build module package data file name path home local var usr lib bin src docs http https www com org net html json the and for with from this that"
-SECRET_WORDS = "token|secret|password|passwd|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key"
-OTHER_WORDS = "commit|sha1|sha256|md5|hash|checksum|digest|uuid|guid|revision|etag|version|order|isbn|path|url|href|src|file"
-FEATURES = ["length", "transitions", "digits", "upper", "symbols", "distinct", "coverage", "hexadecimal", "path", "uuid", "assigned", "secret_word", "other_word"]
+FEATURES = ["length", "transitions", "digits", "upper", "symbols", "distinct", "coverage", "hexadecimal", "path", "uuid", "vowels", "placeholder", "assigned", "quoted", "secret_word", "other_word", "prose"]
 
 
 def candidates(text: Column) -> Column:
     """Array of (start, end, match, before, after) of all candidates, code points."""
-    p = CANDIDATE
-    matches, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("match"))
-    size = F.char_length
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + size(x["gap"]) + size(x["match"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.when(
-                    x["match"].rlike("[0-9]"),
-                    F.array(F.struct((acc["at"] + size(x["gap"])).alias("start"), (acc["at"] + size(x["gap"]) + size(x["match"])).alias("end"), x["match"].alias("match"))),
-                ).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>")),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    start = lambda x: F.greatest(F.lit(1), x["start"] - NEAR + 1)
-    return F.when(
-        text.rlike(p),
-        F.transform(
-            walked,
-            lambda x: F.struct(
-                x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
-                F.substring(text, start(x), x["start"] + 1 - start(x)).alias("before"),
-                F.substring(text, x["end"] + 1, F.lit(NEAR)).alias("after"),
-            ),
-        ),
-    )
+    return spans(text, CANDIDATE, NEAR, across=True)
 
 
 def features(match: Column, before: Column, after: Column) -> list[Column]:
@@ -86,41 +69,86 @@ def features(match: Column, before: Column, after: Column) -> list[Column]:
         "hexadecimal": flag(match.rlike("^[0-9a-fA-F]+$")),
         "path": flag(match.rlike(r"/[^/]+/|\.[a-z]{2,4}$") | before.rlike(r"(://|\./|/)$")),
         "uuid": flag(match.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
-        "assigned": flag(before.rlike(r"[=:]\s*['\"]?$")),
+        "vowels": (n - left("(?i)[aeiou]")) / n,
+        "placeholder": flag(match.rlike(rf"(?i){PLACEHOLDERS}")),
+        "assigned": flag(before.rlike(r"[=:]\s*['\"`]?$")),
+        "quoted": flag(before.rlike("['\"`]$") & after.rlike("^['\"`]")),
         "secret_word": flag(before.rlike(rf"(?i)({SECRET_WORDS})[^\n]{{0,12}}$")),
         "other_word": flag(before.rlike(rf"(?i)({OTHER_WORDS})[^\n]{{0,12}}$")),
+        "prose": flag(after.rlike("^[.,]? [a-z]+ [a-z]+")),
     }
     return [F.coalesce(found[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES]
 
 
-def labelled_findings(spark) -> DataFrame:
-    """match, before, after, label: FINDINGS rows by rule from the row's number alone."""
+def labelled_sentences(spark, n: int = SENTENCES) -> DataFrame:
+    """format, text, secret (null: none): n sentences by rule, from the row's number alone.
+
+    None of them assigns forty hexadecimal digits to a quoted token.
+    """
     h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")).cast("binary"), 256)
-    b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(h(salt))), "=", "")
-    pick = lambda options, salt: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(options))) + 1).cast("int"))
+    b64 = lambda salt: F.base64(F.unhex(h(salt)))
+    plain64 = lambda salt, k: F.substring(F.regexp_replace(F.concat(b64(salt), b64(salt + "+")), "[+/=]", ""), 1, k)
+    below = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(k))
+    pick = lambda options, salt: F.element_at(F.array(*[F.lit(o) for o in options]), (below(salt, len(options)) + 1).cast("int"))
     words = sorted(set(DICTIONARY.split()))
-    slug = F.concat_ws("-", pick(words, "a"), pick(words, "b"), pick(words, "c"), F.pmod(F.col("id") * 7919, F.lit(10_000)).cast("string"))
-    path = F.concat(F.lit("/"), F.concat_ws("/", pick(words, "d"), pick(words, "e"), pick(words, "f")), F.lit("/"), F.pmod(F.col("id"), F.lit(977)).cast("string"), F.lit(".html"))
+    # words of syllables, as prose in any language has them
+    spoken = lambda salt: F.concat(*[pick("ta re no li en mar do sel vi un ker op bra ist ".split(), f"{salt}{i}") for i in range(4)])
+    around = lambda x: F.concat(spoken("p"), F.lit(" "), spoken("q"), F.lit(" "), x, F.lit(" "), spoken("r"), F.lit(" "), spoken("s"), F.lit("."))
+    name = pick(["api_key", "API_KEY", "secret", "client_secret", "password", "DB_PASSWORD", "access_key", "auth_token", "credential", "private_key", "passphrase"], "n")
+    sign = pick(["=", " = ", ": ", ":"], "a")
+    quote = pick(['"', "'", "", ""], "z")
+    assigned = lambda x: F.concat(name, sign, quote, x, quote)
+    said = lambda x: F.concat(pick(["the password is ", "my secret is ", "use the token ", "Authorization: Bearer ", "credential "], "w"), x)
+    hexes = lambda salt: F.substring(h(salt), F.lit(1), pick([24, 32, 48, 64], salt + "k"))
+    mixed = F.concat(F.initcap(spoken("m")), pick(list("!@#$%&*-_"), "y"), below("m", 9000).cast("string"), plain64("m", 3))
+    phrase = F.concat_ws("-", pick(["Correct", "Purple", "Quiet", "Rusty"], "c1"), pick(["Horse", "Monkey", "Lamp", "River"], "c2"), pick(["Battery", "Staple", "Window"], "c3"))
+    slug = F.concat_ws("-", pick(words, "a"), pick(words, "b"), pick(words, "c"), below("sl", 10_000).cast("string"))
+    path = F.concat(F.lit("/"), F.concat_ws("/", pick(words, "d"), pick(words, "e"), pick(words, "f")), F.lit("/"), below("pa", 977).cast("string"), F.lit(".html"))
     uuid = F.concat_ws("-", F.substring(h("u"), 1, 8), F.substring(h("u"), 9, 4), F.substring(h("u"), 13, 4), F.substring(h("u"), 17, 4), F.substring(h("u"), 21, 12))
-    secret_before = pick(['token = "', "api_key: ", "password=", "secret = '", 'Authorization: Bearer ', 'access_key="', 'the secret is ', 'auth_token="'], "s")
-    other_before = pick(["commit ", "sha256: ", "md5 = ", "checksum ", "etag: ", "revision "], "o")
-    plain_before = pick(["see ", "", "and the ", "in ", "id ", "= "], "p")
-    kinds = [
-        (F.substring(h("1"), 1, 40), secret_before, 1), (F.substring(b64("2"), 1, 40), secret_before, 1),
-        (F.concat(F.lit("AKIA"), F.upper(F.substring(h("3"), 1, 16))), F.concat(pick(["", "key ", "aws "], "k"), F.lit("= ")), 1),
-        (F.concat(F.lit("ghp_"), F.substring(F.translate(b64("4"), "+/", "ab"), 1, 36)), plain_before, 1),
-        (F.substring(b64("5"), 1, 24), secret_before, 1), (F.substring(h("6"), 1, 32), secret_before, 1),
-        (F.substring(h("7"), 1, 40), other_before, 0), (h("8"), other_before, 0), (uuid, plain_before, 0), (slug, plain_before, 0),
-        (path, pick(["http://", "src=", "path ", ""], "r"), 0), (F.rpad(F.lit("1"), 24, "1"), plain_before, 0),
-        (F.lpad(F.col("id").cast("string"), 20, "0"), pick(["order ", "isbn ", "version "], "v"), 0), (F.concat(pick(words, "g"), F.lit("_example_key_0001")), secret_before, 0),
-        (F.substring(h("9"), 1, 32), plain_before, 0),
+    none = F.lit(None).cast("string")
+    kinds: list[tuple[str, Column, Column]] = []
+
+    def secret(form: str, value: Column, text):
+        kinds.append((form, around(text(value)), value))
+
+    def other(form: str, text: Column):
+        kinds.append((form, around(text), none))
+
+    bare = lambda x: F.concat(pick(["", "key ", "found ", "id "], "k"), x)
+    secret("hexadecimal", hexes("1"), assigned)
+    secret("base64", F.concat(F.substring(b64("2"), 1, 38), pick(["==", "=", ""], "e")), assigned)
+    secret("random", plain64("5", 24), assigned)
+    secret("random said", plain64("6", 32), said)
+    secret("password", mixed, assigned)
+    secret("password said", mixed, said)
+    secret("short password", plain64("7", 10), assigned)
+    secret("phrase", phrase, assigned)
+    secret("access id", F.concat(F.lit("AKIA"), F.upper(F.substring(h("3"), 1, 16))), bare)
+    secret("prefixed token", F.concat(pick(["ghp_", "gho_", "glpat-", "npm_"], "g"), plain64("4", 36)), bare)
+    secret("live key", F.concat(pick(["sk_live_", "rk_live_", "xoxb-", "AIza"], "l"), plain64("8", 28)), bare)
+    secret("signed token", F.concat(F.lit("eyJ"), plain64("j", 20), F.lit("."), F.lit("eyJ"), plain64("i", 24), F.lit("."), plain64("s", 32)), said)
+    other("commit", F.concat(pick(["commit ", "revision ", "sha1 ", "see commit "], "o"), F.substring(h("c"), 1, 40)))
+    other("checksum", F.concat(pick(["sha256: ", "checksum=", "md5 = ", "etag: ", "digest: "], "o"), F.substring(h("d"), F.lit(1), pick([32, 40, 64], "dk"))))
+    other("bare hash", F.substring(h("b"), F.lit(1), pick([32, 40, 64], "bk")))
+    other("uuid", F.concat(pick(["id ", "uuid: ", "request=", "see "], "o"), uuid))
+    other("slug", F.concat(pick(["page ", "id: ", "name=", ""], "o"), slug))
+    other("address", F.concat(pick(["http://", "src=", "path ", "href: ", "url="], "o"), path))
+    other("number", F.concat(pick(["order ", "isbn: ", "version=", "id = "], "o"), F.lpad(F.col("id").cast("string"), 20, "0")))
+    other("placeholder", assigned(pick(["your_api_key_here", "example_key_0001", "change_me_please", "xxxxxxxxxxxxxxxx", "placeholder123456", "1111111111111111"], "ph")))
+    other("word after a sign", F.concat(pick(["note: ", "type = ", "name: ", "title: ", "and so: "], "o"), spoken("t")))
+    other("word after a secret word", F.concat(pick(["the password ", "a secret ", "each token ", "token: ", "secret = ", "auth "], "o"), spoken("v")))
+    other("identifier", F.concat(pick(["call ", "import ", "module: ", "func = "], "o"), F.concat_ws("_", pick(words, "i1"), pick(words, "i2"), pick(words, "i3"), below("in", 99).cast("string"))))
+    other("prose", spoken("x"))
+    each = [
+        spark.range(i, n, len(kinds), numPartitions=1).select(F.lit(form).alias("format"), text.alias("text"), value.alias("secret")) for i, (form, text, value) in enumerate(kinds)
     ]
-    which = F.pmod(F.col("id"), F.lit(len(kinds)))
-    chosen = None
-    for i, (match, before, label) in enumerate(kinds):
-        row = F.struct(match.alias("match"), before.alias("before"), pick(['"', "'", " ", "\n", ""], "z").alias("after"), F.lit(label).alias("label"))
-        chosen = F.when(which == i, row) if chosen is None else chosen.when(which == i, row)
-    return spark.range(0, FINDINGS, numPartitions=2).select(chosen.alias("x")).select("x.*")
+    return common.stored(reduce(DataFrame.union, each).coalesce(2), "sentences")
+
+
+def labelled_findings(sentences: DataFrame) -> DataFrame:
+    """format, match, before, after, label of every candidate in sentences (format, text, secret)."""
+    found = sentences.select("format", "secret", F.explode(candidates(F.col("text"))).alias("x"))
+    return found.select("format", "x.match", "x.before", "x.after", F.coalesce(F.col("x.match") == F.col("secret"), F.lit(False)).cast("int").alias("label"))
 
 
 def forest(findings: DataFrame):
@@ -130,13 +158,26 @@ def forest(findings: DataFrame):
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(assembled)
 
 
+def accuracy(sentences: DataFrame, model) -> DataFrame:
+    """format, n, n_secrets, n_found (secrets whose exact span is flagged), n_false (other spans flagged), by sentence."""
+    rows = sentences.withColumn("id", F.monotonically_increasing_id())
+    rows = common.stored(rows, "sentences")
+    hits = scan(rows, model, "id").where(F.col("probability") >= THRESHOLD).select(F.col("doc_id").alias("id"), "match")
+    per = rows.join(hits, "id", "left").groupBy("id", "format", "secret").agg(
+        F.max(F.coalesce(F.col("match") == F.col("secret"), F.lit(False)).cast("int")).alias("found"),
+        F.max((F.col("match").isNotNull() & F.coalesce(F.col("match") != F.col("secret"), F.lit(True))).cast("int")).alias("wrong"),
+    )
+    return per.groupBy("format").agg(F.count("*").alias("n"), F.count("secret").alias("n_secrets"), F.sum("found").alias("n_found"), F.sum("wrong").alias("n_false"))
+
+
 def scan(docs: DataFrame, model=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h, start, end, match, probability of every candidate, and one row with nulls for a document without any.
 
-    Null text counts as empty. Repeated rows give the same candidates again (h is a hash of the text); extra columns are
-    ignored; an empty table gives an empty result.
+    Null text counts as empty. Repeated rows give the same candidates again (h is a hash of the text); null ids stay null.
+    Time grows with the length of a text, however many candidates it has. Extra columns are ignored, also those named like
+    inner ones; an empty table gives an empty result.
     """
-    model = model or forest(labelled_findings(docs.sparkSession))
+    model = model or forest(labelled_findings(labelled_sentences(docs.sparkSession)))
     text = common.whole_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), F.explode_outer(candidates(text)).alias("x"))
     rows = rows.select("doc_id", "h", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.match").alias("match"), *features(F.col("x.match"), F.col("x.before"), F.col("x.after")))

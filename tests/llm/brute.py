@@ -101,3 +101,26 @@ def schedule(weights, total):
         out.append((s, done[s]))
         done[s] += 1
     return out
+
+
+def secret_candidates(text):
+    """(start, end) of runs of key characters that are long with a digit, or follow an assignment or a secret word."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9_+/.~!@#$%^&*-]+", text):
+        run, before = m[0], text[: m.start()]
+        if before[-1:] in ("'", '"', "`") and before:
+            before = before[:-1]
+        word = re.sub(r"[ \t]is$", "", before.rstrip(" \t")) if before[-1:] in (" ", "\t") else None
+        gap = len(before) - len(before.rstrip(" \t"))
+        assigned = gap <= 2 and before.rstrip(" \t")[-1:] in ("=", ":") and before.rstrip(" \t") != ""
+        secret = False
+        if word is not None and gap <= 2:
+            names = r"(token|secret|password|passwd|pwd|passphrase|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+            plain = re.search(names + r"[ \t]{1,2}$", before, re.I)
+            told = gap == 1 and re.search(names + r"[ \t]{1,2}is[ \t]$", before, re.I)
+            secret = bool(plain or told)
+        if len(run) >= 8 and ((len(run) >= 16 and re.search("[0-9]", run)) or assigned or secret):
+            end = m.end()
+            pad = re.match("={1,2}(?![A-Za-z0-9=])", text[end:])
+            out.append((m.start(), end + (len(pad[0]) if pad else 0)))
+    return out

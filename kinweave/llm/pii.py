@@ -33,6 +33,7 @@ PLAIN = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 BASE = ["email", "ip", "card", "phone"]
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP = rf"^{BYTE}[.]{BYTE}[.]{BYTE}[.]{BYTE}$"
@@ -106,7 +107,7 @@ def _found(kind: str, text: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.lit(100), raised))
 
     scored = F.transform(
-        F.filter(spans(text, PATTERNS[kind], WINDOW), lambda x: _confirmed(kind, x["match"])),
+        F.filter(spans(text, PATTERNS[kind], WINDOW, needs=NEEDS.get(kind, "")), lambda x: _confirmed(kind, x["match"])),
         lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), score(x).alias("score")),
     )
     return (scored if kind in BASE else F.filter(scored, lambda x: x["score"] >= LEAST)).cast(kind_type)

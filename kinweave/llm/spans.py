@@ -27,13 +27,14 @@ def _running(numbers: Column) -> Column:
     return F.aggregate(numbers, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
-def spans(text: Column, pattern: str, near: int) -> Column:
+def spans(text: Column, pattern: str, near: int, across: bool = False, needs: str = "") -> Column:
     """Array of (start, end, match, before, after) of the leftmost non-overlapping matches; empty if there are none.
 
-    before and after are the at most near code points that touch the match, up to the neighbouring match. The pattern must
-    match no empty string, and U+0001 and U+0002 must be alike to it.
+    before and after are the at most near code points that touch the match, up to the neighbouring match; across: before
+    may also hold the whole of the match before. needs: a character that every match has; texts without it are passed over.
+    The pattern must match no empty string, and U+0001 and U+0002 must be alike to it.
     """
-    marked = F.regexp_replace(F.translate(text, _MARK, _STAND_IN), pattern, f"{_MARK}$0{_MARK}")
+    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(_STAND_IN)), pattern, f"{_MARK}$0{_MARK}")
     parts = F.split(marked, _MARK, -1)
 
     def placed(p: Column) -> Column:
@@ -48,10 +49,13 @@ def spans(text: Column, pattern: str, near: int) -> Column:
         at = (i / CHUNK).cast("int")
         start = F.get(base, at) + F.get(F.get(chunks, at), i % CHUNK)
         match, gap = F.get(p, i), F.get(p, i - 1)
+        if across:
+            gap = F.concat(F.coalesce(F.get(p, i - 2), F.lit("")), gap)
         return F.struct(
             start.cast("int").alias("start"), (start + F.char_length(match)).cast("int").alias("end"), match.alias("match"),
             F.substring(gap, -near, near).alias("before"), F.substring(F.get(p, i + 1), 1, near).alias("after"),
         )
 
     kind = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
-    return let(parts, lambda p: F.when(F.size(p) > 2, placed(p)).otherwise(F.array().cast(kind)))
+    some = let(parts, lambda p: F.when(F.size(p) > 2, placed(p)).otherwise(F.array().cast(kind)))
+    return F.when(text.contains(needs) & text.rlike(pattern), some).otherwise(F.array().cast(kind))

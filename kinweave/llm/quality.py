@@ -1,207 +1,219 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model of character n-grams.
 
-One model for each language is trained on all trusted text (labelled quality 1 and not toxic). Characters are folded to
-64 symbols: the begin mark, the blank (for any run of white space), the language's most frequent characters and, for all
-others, hash classes. So a language has at most 64^4 different 4-grams, which bounds its model whatever the corpus.
+One model for each language is trained on all trusted text (labelled quality 1 and not toxic). Symbols are all characters
+as they are, a run of white space is one blank, and a mark stands ORDER - 1 times before each text. No alphabet is fixed
+or capped: the model grows with the text.
 
 Counting is sharded by (language, n-gram): tasks send their own sums of counts, lower orders count the distinct n-grams
-of the next order, and joins of counts with their contexts' sums and with the next lower order give the probabilities,
-all in DataFrame operations. Documents are then scored against their own language's table. Tables are broadcast in
-groups of languages of at most GROUP_ROWS rows (or one language), and each group's pass reads only its own documents.
+of the next order, and joins of counts with their contexts' sums and with the next lower order give the probabilities.
+
+Documents are scored by joins with these sharded tables too, no table is broadcast or sent to the driver. Documents are
+dealt, packed, into shards of about SHARD bytes of one language. A shard asks for each of its different n-grams once;
+equal questions of all shards are answered once, order by order from below; the answers go back to the shard, which sums
+them up for each document. Documents travel once: questions and sums read the same exchange.
 
 A document is kept if its perplexity is at most the QUANTILE of that of its language's trusted documents.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import common
 
 ORDER = 4
-BITS = 6
-BEGIN, BLANK, FIRST, HASHED = 0, 1, 2, 16
-KNOWN = 2**BITS - FIRST - HASHED
-MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
 QUANTILE = 0.99
+#: Bytes of text in a shard, and symbols that are coded at a time.
+SHARD, PIECE = 24 << 20, 4_000_000
+#: Ids of trusted documents are broadcast up to this many, 8 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-GROUP_ROWS = 4_000_000
-#: Grams of one language that a counting task holds before it sums them.
-FLUSH = 500_000
-
-
-def _points(text: str) -> np.ndarray:
-    return np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-class Folding:
-    """Code points to symbols, given the characters that have one of their own."""
+BEGIN = 0x10FFFF
+#: Codes of up to this many different characters are numbers of ORDER digits; beyond, pairs are numbered first.
+DIGITS = 55_000
+
+
+def symbols(text: str | None) -> str:
+    """The text with one blank for each run of white space, none at its ends."""
+    return " ".join((text or "").split()).replace(chr(BEGIN), "�")
+
+
+class Grams:
+    """The ORDER-grams of some texts as numbers, in the order of the texts."""
+
+    def __init__(self, texts: list[str]):
+        marks = np.full(ORDER - 1, BEGIN, np.uint32)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        points = np.concatenate([x for t in texts for x in (marks, np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32))] or [marks])
+        present = np.zeros(BEGIN + 1, bool)
+        present[points] = True
+        present[BEGIN] = True
+        self.alphabet = np.flatnonzero(present)
+        number = np.zeros(BEGIN + 1, np.int32)
+        number[self.alphabet] = np.arange(len(self.alphabet), dtype=np.int32)
+        self.dense = number[points]
+        self.begin = len(self.alphabet) - 1
+        self.pairs = None
+        if len(self.alphabet) > DIGITS:
+            self.pairs, at = np.unique(self._coded(self.dense, 2), return_inverse=True)
+            self.pair_at = at.astype(np.int64)
+
+    def _coded(self, d: np.ndarray, n: int) -> np.ndarray:
+        out = d[: len(d) - n + 1].astype(np.int64)
+        for i in range(1, n):
+            out = out * len(self.alphabet) + d[i : len(d) - n + 1 + i]
+        return out
+
+    def pieces(self):
+        """(first text, texts after it, codes of their n-grams), some texts at a time."""
+        ends = np.cumsum(self.sizes + ORDER - 1)
+        i = 0
+        while i < len(self.sizes):
+            begin = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, begin + PIECE, side="right")))
+            d = self.dense[begin : int(ends[j - 1])]
+            if self.pairs is None:
+                codes = self._coded(d, ORDER) if len(d) >= ORDER else np.empty(0, np.int64)
+            else:
+                at = self.pair_at[begin : int(ends[j - 1]) - 1]
+                codes = at[: max(0, len(at) - 2)] * len(self.pairs) + at[2:]
+            yield i, j, codes[d[ORDER - 1 :] != self.begin]
+            i = j
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """Different codes in ascending order, and how often each occurs."""
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for _, _, piece in self.pieces():
+            c, n = np.unique(piece, return_counts=True)
+            both, at = np.unique(np.concatenate((codes, c)), return_inverse=True)
+            counts = np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
+            codes = both
+        return codes, counts
+
+    def strings(self, codes: np.ndarray) -> list[str]:
+        k = len(self.alphabet)
+        if self.pairs is None:
+            digits = [codes // k**i % k for i in reversed(range(ORDER))]
+        else:
+            a, b = self.pairs[codes // len(self.pairs)], self.pairs[codes % len(self.pairs)]
+            digits = [a // k, a % k, b // k, b % k]
+        text = self.alphabet[np.stack(digits, 1)].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
-    def __init__(self, known: list[int]):
-        self.table = (FIRST + KNOWN + np.arange(0x110000) * 2654435761 % 2**32 // 2**16 % HASHED).astype(np.int32)
-        self.table[32] = BLANK
-        self.table[known] = FIRST + np.arange(len(known), dtype=np.int32)
 
-    def grams(self, text: str) -> np.ndarray:
-        """The ORDER-gram that ends in each symbol, begin marks included, as integers of BITS bits a symbol."""
-        s = np.concatenate((np.full(ORDER - 1, BEGIN, np.int32), self.table[_points(text)]))
-        n = len(s) - ORDER + 1
-        return reduce(lambda acc, i: (acc << BITS) | s[i : i + n], range(1, ORDER), s[:n])
+def _counted(batches):
+    """lang, g, c of the texts of a task, summed up over about PIECE symbols."""
+    held: dict[str, list[str]] = {}
 
+    def flushed(lang):
+        grams = Grams(held.pop(lang))
+        codes, counts = grams.distinct()
+        return pd.DataFrame({"lang": lang, "g": grams.strings(codes), "c": counts})
 
-def _characters(batches):
     for pdf in batches:
-        for lang, part in pdf.groupby("lang"):
-            cp, n = np.unique(np.concatenate([_points(t) for t in part["text"]]), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "cp": cp.astype(np.int64), "n": n})
-
-
-def _counting(alphabets):
-    def run(batches):
-        folding = {lang: Folding(known) for lang, known in alphabets.value.items()}
-        held: dict[str, list[np.ndarray]] = {}
-
-        def flushed(lang):
-            g, c = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
-            return pd.DataFrame({"lang": lang, "g": g.astype(np.int64), "c": c})
-
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"]):
-                if lang in folding:
-                    held.setdefault(lang, []).append(folding[lang].grams(text))
-            for lang in [x for x, parts in held.items() if sum(map(len, parts)) > FLUSH]:
-                yield flushed(lang)
-        for lang in list(held):
+        for lang, text in zip(pdf["lang"], pdf["text"]):
+            held.setdefault(lang, []).append(symbols(text))
+        for lang in [x for x, texts in held.items() if sum(map(len, texts)) > PIECE]:
             yield flushed(lang)
+    for lang in list(held):
+        yield flushed(lang)
 
-    return run
-
-
-def alphabets(trusted: DataFrame) -> dict[str, list[int]]:
-    """The KNOWN most frequent characters of each language, at most so many for each on the driver."""
-    chars = trusted.mapInPandas(_characters, "lang string, cp long, n long").groupBy("lang", "cp").agg(F.sum("n").alias("n")).where("cp <> 32")
-    top = chars.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "cp"))).where(F.col("r") <= KNOWN)
-    found: dict[str, list[int]] = {}
-    for lang, cp in top.orderBy("lang", "r").select("lang", "cp").collect():
-        found.setdefault(lang, []).append(cp)
-    return found
 
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """lang, n, kind, g, v from lang, g, c of ORDER-grams: kind p has the probability of the n-gram g, kind w the weight
-    that the context g gives to the next lower order."""
+def kneser_ney(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each order n the probabilities (lang, g, p) of n-grams and the weights (lang, ctx, w) that contexts of n - 1
+    symbols leave to the next lower order, from lang, g, c of ORDER-grams. Below order 1, and for order 0 in the result, all
+    symbols that the language has, and one that it hasn't, are equally likely."""
     tables = {ORDER: counts}
     for n in range(ORDER - 1, 0, -1):
-        tables[n] = tables[n + 1].groupBy("lang", F.col("g").bitwiseAND(F.lit(MASK[n]).cast("long")).alias("g")).agg(F.count("*").alias("c"))
-    out, lower = [], None
+        tables[n] = common.stored(tables[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("c")), f"count-{n}")
+    even = tables[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))
+    out = {0: (common.stored(even, "even"), None)}
+    lower = out[0][0].select("lang", F.lit("").alias("g"), "p")
     for n in range(1, ORDER + 1):
         t = tables[n]
         of = t.groupBy("lang").agg(*[F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"k{i}") for i in (1, 2, 3, 4)])
         y = F.coalesce(F.try_divide(F.col("k1"), F.col("k1") + 2 * F.col("k2")), F.lit(0.5))
         d = [F.least(F.lit(float(i)), F.greatest(F.lit(0.05 * i), i - (i + 1) * y * F.coalesce(F.try_divide(F.col(f"k{i + 1}"), F.col(f"k{i}")), F.lit(0.5)))) for i in (1, 2, 3)]
         of = of.select("lang", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
-        t = t.withColumn("ctx", F.shiftright("g", BITS)).join(F.broadcast(of), "lang")  # one row for each language
-        t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("taken")).withColumn("weight", F.col("taken") / F.col("total"))
-        joined = t.join(contexts, ["lang", "ctx"])
-        if lower is None:
-            joined = joined.withColumn("below", F.lit(1.0 / 2**BITS))
-        else:
-            joined = joined.withColumn("suffix", F.col("g").bitwiseAND(F.lit(MASK[n - 1]).cast("long"))).join(
-                lower.select("lang", F.col("g").alias("suffix"), F.col("v").alias("below")), ["lang", "suffix"]
-            )
-        probability = (F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")
-        lower = common.stored(joined.select("lang", F.lit(n).alias("n"), F.lit("p").alias("kind"), "g", probability.alias("v")), f"order-{n}")
-        out += [lower, contexts.select("lang", F.lit(n).alias("n"), F.lit("w").alias("kind"), F.col("ctx").alias("g"), F.col("weight").alias("v"))]
-    return reduce(DataFrame.union, out)
-
-
-class Scorer:
-    """Log probabilities of one language's grams, from columns n, probability (or weight), g, v of kneser_ney()."""
-
-    def __init__(self, known: list[int], n: np.ndarray, probability: np.ndarray, g: np.ndarray, v: np.ndarray):
-        self.known = known
-        below = np.array([1.0 / 2**BITS])
-        for order in range(1, ORDER + 1):
-            weight = np.ones(1 << (BITS * (order - 1)))
-            at = (n == order) & ~probability
-            weight[g[at]] = v[at]
-            at = (n == order) & probability
-            if order < ORDER:
-                every = np.arange(1 << (BITS * order))
-                p = weight[every >> BITS] * below[every & MASK[order - 1]]
-                p[g[at]] = v[at]
-                below = p
-            else:
-                rank = np.argsort(g[at])
-                self.weight, self.below = np.log(weight).astype(np.float32), np.log(below).astype(np.float32)
-                self.keys = np.append(g[at][rank], MASK[ORDER] + 1).astype(np.int32)
-                self.seen = np.append(np.log(v[at][rank]), 0).astype(np.float32)
-
-    def logs(self, g: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, g)
-        return np.where(self.keys[at] == g, self.seen[at], self.weight[g >> BITS] + self.below[g & MASK[ORDER - 1]])
-
-    @classmethod
-    def of(cls, known: dict[str, list[int]], model: DataFrame, langs: list[str]) -> dict[str, Scorer]:
-        """The scorers of some languages, from kneser_ney(): a few bytes for each row reach the driver."""
-        number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
-        rows = model.where(F.col("lang").isin(langs)).select(
-            F.element_at(number, F.col("lang")).cast("short").alias("lang"), F.col("n").cast("byte").alias("n"), (F.col("kind") == "p").alias("p"), F.col("g").cast("int").alias("g"), F.col("v").cast("float").alias("v")
-        ).toArrow()
-        lang, n, p, g, v = (c.to_numpy(zero_copy_only=False) if not hasattr(c, "combine_chunks") else c.to_numpy() for c in rows.columns)
-        return {x: cls(known[x], n[lang == i], p[lang == i].astype(bool), g[lang == i], v[lang == i].astype(np.float64)) for i, x in enumerate(langs)}
-
-
-def _scoring(model):
-    def run(batches):
-        scorers = model.value
-        folding = {lang: Folding(s.known) for lang, s in scorers.items()}
-        for pdf in batches:
-            found = []
-            for lang, text in zip(pdf["lang"], pdf["text"]):
-                g = folding[lang].grams(text) if lang in folding else ()
-                found.append((len(g), float(scorers[lang].logs(g).sum(dtype=np.float64)) if len(g) else 0.0))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "n_symbols": [f[0] for f in found], "log_p": [f[1] for f in found]})
-
-    return run
+        t = t.join(of, "lang").select("lang", "g", "c", F.substring("g", 1, n - 1).alias("ctx"), F.substring("g", 2, n - 1).alias("suffix"), F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+        contexts = common.stored(t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("w")), f"contexts-{n}")
+        below = lower.select("lang", F.col("g").alias("suffix"), F.col("p").alias("below"))
+        p = t.join(contexts, ["lang", "ctx"]).join(below, ["lang", "suffix"]).select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("w") * F.col("below")).alias("p"))
+        lower = common.stored(p, f"order-{n}")
+        out[n] = lower, contexts.select("lang", "ctx", "w")
+    return out
+
+
+def answered(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """lang, g, p of different ORDER-grams (lang, g): the probability where the n-gram was seen, otherwise the context's
+    weight (1 for a context never seen) times the probability of the next shorter one. Languages without a model have no
+    answer."""
+    questions = {ORDER: asked}
+    for n in range(ORDER - 1, -1, -1):
+        questions[n] = questions[n + 1].select("lang", F.substring("g", 2, n).alias("g")).distinct()
+    known = questions[0].join(model[0][0], "lang")
+    for n in range(1, ORDER + 1):
+        seen, contexts = model[n]
+        q = questions[n].select("lang", "g", F.substring("g", 1, n - 1).alias("ctx"), F.substring("g", 2, n - 1).alias("suffix"))
+        q = q.join(known.select("lang", F.col("g").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]).join(contexts, ["lang", "ctx"], "left")
+        known = q.join(seen, ["lang", "g"], "left").select("lang", "g", F.coalesce("p", F.coalesce("w", F.lit(1.0)) * F.col("below")).alias("p"))
+    return known
+
+
+def _packed(batches):
+    for pdf in batches:
+        texts = [symbols(t) for t in pdf["text"]]
+        z = [zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in texts]
+        yield pd.DataFrame({"lang": pdf["lang"], "shard": pdf["shard"], "doc_id": pdf["doc_id"], "n_symbols": [len(t) for t in texts], "z": z})
+
+
+def _unpacked(z) -> Grams:
+    return Grams([zlib.decompress(x).decode("utf-8", "surrogatepass") for x in z])
+
+
+def _asking(key, pdf):
+    grams = _unpacked(pdf["z"])
+    codes = grams.distinct()[0]
+    return pd.DataFrame({"lang": key[0], "shard": key[1], "at": np.arange(len(codes), dtype=np.int32), "g": grams.strings(codes)})
+
+
+def _summing(key, docs, answers):
+    grams = _unpacked(docs["z"])
+    sums = np.full(len(docs), np.nan)
+    if len(answers):
+        codes = grams.distinct()[0]
+        logs = np.zeros(len(codes))
+        logs[answers["at"].to_numpy()] = answers["log_p"].to_numpy()
+        for i, j, piece in grams.pieces():
+            ends = np.cumsum(grams.sizes[i:j])
+            held = np.flatnonzero(grams.sizes[i:j])
+            if len(held):
+                sums[i + held] = np.add.reduceat(logs[np.searchsorted(codes, piece)], (ends - grams.sizes[i:j])[held])
+    return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "n_symbols": docs["n_symbols"], "log_p": sums})
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """doc_id, lang, n_symbols, log_p of every document, by models of all trusted text."""
+    """doc_id, lang, n_symbols, log_p of every document, by models of all trusted text; log_p is null without a model of the
+    language, or without a symbol."""
     spark = docs.sparkSession
     common.python_ready(spark)
-    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), common.whole_text(text_col).alias("text"))
+    text = common.whole_text(text_col)
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"))
     ids = trusted_ids(labels)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = plain.where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text")
-    known = alphabets(trusted)
-    if not known:
-        return plain.select("doc_id", "lang", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_p"))
-    counts = trusted.mapInPandas(_counting(spark.sparkContext.broadcast(known)), "lang string, g long, c long")
-    counts = common.stored(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts")
-    model = common.stored(kneser_ney(counts), "model")
-    sizes = model.groupBy("lang").count().orderBy("lang").collect()
-    groups: list[list[str]] = [[]]
-    held = 0
-    for lang, n in sizes:
-        if groups[-1] and held + n > GROUP_ROWS:
-            groups.append([])
-            held = 0
-        groups[-1].append(lang)
-        held += n
-    parts = [plain.where(~F.col("lang").isin(list(known))).select("doc_id", "lang", F.lit(0).cast("long").alias("n_symbols"), F.lit(0.0).alias("log_p"))]
-    for langs in groups:
-        shared = spark.sparkContext.broadcast(Scorer.of(known, model, langs))
-        own = plain.where(F.col("lang").isin(langs))
-        parts.append(own.mapInPandas(_scoring(shared), "doc_id long, lang string, n_symbols long, log_p double"))
-    return reduce(DataFrame.union, parts)
+    counts = plain.where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text").mapInPandas(_counted, "lang string, g string, c long")
+    model = kneser_ney(common.stored(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts"))
+    shards = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD))
+    dealt = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    packed = dealt.mapInPandas(_packed, "lang string, shard long, doc_id long, n_symbols long, z binary")
+    asked = packed.groupBy("lang", "shard").applyInPandas(_asking, "lang string, shard long, at int, g string").repartition("lang", "g")
+    back = asked.join(answered(asked.select("lang", "g").distinct(), model), ["lang", "g"]).select("lang", "shard", "at", F.log("p").alias("log_p"))
+    out = packed.groupBy("lang", "shard").cogroup(back.groupBy("lang", "shard")).applyInPandas(_summing, "doc_id long, lang string, n_symbols long, log_p double")
+    return out.withColumn("log_p", F.nanvl("log_p", F.lit(None)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -211,19 +223,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, **columns) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, kept for every row of docs.
 
-    Null lang is a language of its own, the empty name. Null and empty texts have no perplexity and aren't kept.
-    Documents of a language without trusted text have neither perplexity nor threshold and are kept. Repeated rows are
-    each scored; extra columns are ignored; an empty table gives an empty result.
+    Null lang is a language of its own, the empty name. Texts without a symbol (null, empty, only white space) have no
+    perplexity and aren't kept. Documents of a language without trusted text have neither perplexity nor threshold and are
+    kept. Rows are judged each by its own text, whatever other rows have its id; null ids are never trusted. Texts are read
+    whole; a very long one takes a shard of its size. Extra columns are ignored, also those named like inner ones; an empty
+    table gives an empty result.
     """
-    out = scored(docs, labels, **columns).withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_p") / F.col("n_symbols"))))
+    out = scored(docs, labels, **columns).withColumn("perplexity", F.exp(-F.col("log_p") / F.nullif("n_symbols", F.lit(0))))
     out = common.stored(out, "perplexities")
     trusted = out.join(trusted_ids(labels), "doc_id", "left_semi").where("perplexity is not null")
     cuts = trusted.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold"))
-    empty = docs.where(common.whole_text(columns.get("text_col", "text")) == "").select(common.id_in(columns.get("id_col", "doc_id")).alias("doc_id")).distinct()
-    out = out.join(empty.withColumn("blank", F.lit(True)), "doc_id", "left")
-    return out.join(F.broadcast(cuts), "lang", "left").select(  # one row for each language
+    return out.join(cuts, "lang", "left").select(
         common.id_out("doc_id"), "lang", "n_symbols", "perplexity", "threshold",
-        (F.col("blank").isNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),
+        ((F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),
     )
 
 

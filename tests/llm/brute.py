@@ -124,3 +124,43 @@ def secret_candidates(text):
             pad = re.match("={1,2}(?![A-Za-z0-9=])", text[end:])
             out.append((m.start(), end + (len(pad[0]) if pad else 0)))
     return out
+
+
+def kneser_ney(trusted, texts, order=4):
+    """Perplexities of texts by an interpolated modified Kneser-Ney model of the characters of trusted texts."""
+    import math
+    from collections import Counter, defaultdict
+
+    plain = lambda t: " ".join((t or "").split())
+    padded = lambda t: ["^"] * (order - 1) + [("c", x) for x in plain(t)]
+    seqs = [padded(t) for t in trusted]
+    counts = {order: Counter(tuple(s[i : i + order]) for s in seqs for i in range(len(s) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount, total, taken = {}, {}, {}
+    for n, table in counts.items():
+        k = Counter(min(c, 5) for c in table.values())
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] + 2 * k[2] else 0.5
+        for i in (1, 2, 3):
+            ratio = k[i + 1] / k[i] if k[i] else 0.5
+            discount[n, i] = min(i, max(0.05 * i, i - (i + 1) * y * ratio))
+        total[n], taken[n] = defaultdict(int), defaultdict(float)
+        for g, c in table.items():
+            total[n][g[:-1]] += c
+            taken[n][g[:-1]] += discount[n, min(c, 3)]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(counts[1]) + 1)
+        below, c, ctx = p(g[1:]), counts[n].get(g, 0), g[:-1]
+        if ctx not in total[n]:
+            return below
+        return max(0.0, c - discount[n, min(c, 3)] if c else 0.0) / total[n][ctx] + taken[n][ctx] / total[n][ctx] * below
+
+    out = []
+    for t in texts:
+        s = padded(t)
+        logs = [math.log(p(tuple(s[i : i + order]))) for i in range(len(s) - order + 1)]
+        out.append(math.exp(-sum(logs) / len(logs)) if logs else None)
+    return out

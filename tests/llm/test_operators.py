@@ -264,15 +264,35 @@ def test_secret_edge(spark, folder):
 
 
 # --- quality
-def test_kneser_ney(spark):
-    """Probabilities after each seen context sum to one with the weight left for lower orders."""
-    import numpy as np
-
-    rows = [("x", int(g), 1 + int(g) % 5) for g in np.unique(np.random.default_rng(1).integers(0, 2**24, 3000))]
-    model = common.stored(quality.kneser_ney(spark.createDataFrame(rows, "lang string, g long, c long")), "model")
-    scorer = quality.Scorer.of({"x": [97, 98]}, model, ["x"])["x"]
-    for context in np.unique([g >> 6 for _, g, _ in rows])[:20]:
-        assert abs(np.exp(scorer.logs((context << 6) | np.arange(64))).sum() - 1) < 1e-3
+def test_perplexities(spark, docs, monkeypatch):
+    """Against a model in plain Python, with several shards, and for the codes of very large alphabets."""
+    monkeypatch.setattr(quality, "SHARD", 100_000)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r for r in quality.classified(docs, labels).collect()}
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    by = {}
+    for r in docs.select("doc_id", "text", "lang").collect():
+        by.setdefault(r.lang, []).append((r.doc_id, r.text))
+    for lang, own in by.items():
+        want = brute.kneser_ney([t for i, t in own if i in good], [t for _, t in own])
+        for (i, _), w in zip(own, want):
+            assert got[i].lang == lang and abs(got[i].perplexity - w) < 1e-6 * w
+
+
+def test_gram_codes(monkeypatch):
+    from collections import Counter
+
+    texts = ["abcab", "", "x", "日本語日本語", "ab" * 50]
+    want = Counter()
+    for t in texts:
+        padded = chr(quality.BEGIN) * 3 + t
+        want.update(padded[i : i + 4] for i in range(len(t)))
+    for digits, piece in ((55_000, 4_000_000), (55_000, 3), (2, 4_000_000), (2, 7)):
+        monkeypatch.setattr(quality, "DIGITS", digits)
+        monkeypatch.setattr(quality, "PIECE", piece)
+        grams = quality.Grams(texts)
+        codes, counts = grams.distinct()
+        assert dict(zip(grams.strings(codes), counts.tolist())) == want
 
 
 def test_quality_separates(spark):
@@ -285,7 +305,10 @@ def test_quality_separates(spark):
 def test_quality_edge(spark, folder, empty):
     got = quality.op7_quality_classifier(spark, folder).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == 20 and not by[4].kept and not by[5].kept and by[16].kept and by[16].threshold is None
+    assert len(got) == 20 and not by[4].kept and not by[5].kept and not by[6].kept and by[16].kept and by[16].threshold is None
+    shared = spark.createDataFrame([(1, "a plain text", "en"), (1, None, "en"), (1, "a plain texts", "en"), (None, "a plain text", "en")], "doc_id long, text string, lang string")
+    found = quality.classified(shared, spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    assert sorted(r.kept for r in found) == [False, True, True, True]
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     assert quality.classified(empty, labels).count() == 0 and quality.classified(empty, labels.limit(0)).count() == 0
 

@@ -2,7 +2,8 @@
 
 A document's set is its distinct k-word shingles (hashed to 64 bits). ROWS * BANDS independent minimum hashes are taken;
 ROWS of them together form one signature coordinate. Documents with equal sets are one class and only the class's
-representative (smallest id) is posted, once under each coordinate-value pair:
+representative (smallest id, then hash of the text) is posted, once under each coordinate-value pair, by its place in the order
+of representatives; rows that share an id, or have none, are thus told apart by their texts:
 
     postings(coordinate, value, representative)
 
@@ -14,7 +15,7 @@ Lists of one member end there. The other lists are merged without writing out th
   new pivot in the next round.
 * before sets are compared, parity sketches give a bound on the symmetric difference that rejects almost all other pairs.
 * the rest is exact: in lists that still span components after ROUNDS rounds, every pair across components is counted, in
-  blocks of bounded size spread over the cluster, each pair only in the list of the first coordinate in which it collides.
+  blocks of bounded size spread over the cluster.
 
 So no cap stands on lists, partners or candidates. The one thing that can lose a link is the signature itself: two texts
 of similarity 0.8 collide in none of 32 coordinates of 4 hashes with probability (1 - 0.8 ** 4) ** 32 = 5e-8, and fall
@@ -46,7 +47,7 @@ LEAST_BITS, MOST_BITS = 2048, 32768
 GROUP, PAIRS = 2000, 20_000
 #: Links in a file between two steps of the components.
 EDGES = 50_000
-#: Ids of candidate documents are broadcast up to this many, 8 bytes each; beyond, they are joined by a shuffle.
+#: Ids of candidate documents are broadcast up to this many, 24 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
 _rng = np.random.default_rng(20240501)
@@ -145,18 +146,18 @@ def _sketched(k: int):
     def run(batches):
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
+            for i, h, text in zip(pdf["doc_id"], pdf["h"], pdf["text"]):
                 s = shingle_set(text, k)
                 if not len(s):
-                    rows.append((i, 0, None, None, None))
+                    rows.append((i, h, 0, None, None, None))
                     continue
                 sig = signature(s)
                 seed = np.arange(BANDS, dtype=np.uint64) * _STEP
                 for r in range(ROWS):
                     seed = _mixed(seed ^ sig[r::ROWS])
                 short = (sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
-                rows.append((i, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), short, seed.astype(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "cls", "sig", "values"])
+                rows.append((i, h, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), short, seed.astype(np.int64).tolist()))
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "n_shingles", "cls", "sig", "values"])
 
     return run
 
@@ -200,14 +201,14 @@ def _confirmed(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Of the lists in one block: pairs across components that first collide in the list's coordinate and reach MATCHES."""
+    """Of the lists in one block: pairs across components that reach MATCHES."""
 
     def run(left, right):
         found = [np.empty((0, 2), np.int64)]
         if len(left) and len(right):
             x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(len(left), HASHES)
             y = np.frombuffer(b"".join(right["o_sig"]), np.uint16).reshape(len(right), HASHES)
-            a = {c: left[c].to_numpy() for c in ("value", "rep", "comp", "n", "band")}
+            a = {c: left[c].to_numpy() for c in ("value", "rep", "comp", "n")}
             b = {c: right[f"o_{c}"].to_numpy() for c in ("value", "rep", "comp", "n", "outer")}
             order = np.argsort(b["value"], kind="stable")
             ranked = b["value"][order]
@@ -226,13 +227,11 @@ def _block_pairs(percent: int):
                 apart = _differences(left["parity"].tolist(), p, right["o_parity"].tolist(), q)
                 may = apart * (100 + percent) <= (a["n"][p] + b["n"][q]) * (100 - percent)
                 p, q = p[may], q[may]
-                same = x[p] == y[q]
-                first = same.reshape(len(p), BANDS, ROWS).all(2).argmax(1)
-                keep = (same.sum(1) >= MATCHES) & (first == a["band"][p])
+                keep = (x[p] == y[q]).sum(1) >= MATCHES
                 u, v = a["rep"][p[keep]], b["rep"][q[keep]]
                 found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
                 i = j
-        pairs = np.concatenate(found)
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -247,12 +246,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = common.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     files = max(1, now.count() // EDGES)
     while True:
+        # what is grouped by an id is written before it is joined by that id, so that adaptive execution can split the links
+        # of a large star's centre
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = common.stored(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "links")
+        low = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")).coalesce(files), "low")
+        large = common.stored(both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = common.stored(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m").coalesce(files), "least")
+        small = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = common.stored(small.union(least.select("k", "m")).distinct().coalesce(files), "links")
+        common.dropped(low, large, least)
         common.dropped(now)
         now = after
         ends = now.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
@@ -271,46 +273,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of k-word shingles. component_id is
     the smallest doc_id reachable over links, kept = (doc_id = component_id). Null, empty and wordless texts have no
-    shingles, are linked with nothing and stay. Equal sets are always linked. Rows that repeat an id are each reported; if
-    their texts differ, the id stands for the one that is seen first. Null ids are one id, the last. Other columns are
-    ignored; an empty table gives an empty result.
+    shingles, are linked with nothing and stay. Equal sets are always linked. Rows are told apart by id and text: rows that
+    repeat an id, or have a null one, are each in the component of their own text (a null id is the last of all, and
+    reported as null). Texts are read whole, however long. Extra columns are ignored, also those named like inner ones; an
+    empty table gives an empty result.
     percent below 80 lowers the signature's recall; the constants above are set for 80 and more.
     """
     spark = docs.sparkSession
     common.python_ready(spark)
     runs = run_count(spark)
-    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.xxhash64(common.whole_text(text_col)).alias("h"), F.col(text_col).alias("text"))
     base = common.stored(
-        plain.mapInPandas(_sketched(k), "doc_id long, n_shingles long, cls binary, sig binary, values array<long>").withColumn(
-            "run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")
+        plain.mapInPandas(_sketched(k), "doc_id long, h long, n_shingles long, cls binary, sig binary, values array<long>").withColumn(
+            "run", F.pmod(F.xxhash64("doc_id", "h"), F.lit(runs)).cast("int")
         ),
         "sketches",
     )
     worded = base.where("cls is not null")
-    entries = worded.groupBy("cls", "run").agg(F.min("doc_id").alias("rep"))
-    classes = entries.groupBy("cls").agg(F.min("rep").alias("rep"))
+    entries = worded.groupBy("cls", "run").agg(F.min(F.struct("doc_id", "h")).alias("best"))
+    classes = common.stored(entries.groupBy("cls").agg(F.min("best").alias("best")).select("cls", "best.doc_id", "best.h"), "classes")
+    # partitions follow one another in the order of ids, and so do the numbers
+    order = ["doc_id", "h", "cls"]
+    classes = common.stored(
+        classes.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id()), "numbers"
+    )
     reps = common.stored(
-        worded.select("cls", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "values")
-        .join(classes, ["cls", "rep"])
-        .dropDuplicates(["rep"])
-        .select("rep", "n", "sig", "values"),
+        worded.select(*order, F.col("n_shingles").alias("n"), "sig", "values").join(classes, order).dropDuplicates(["rep"]).select("rep", "n", "sig", "values"),
         "representatives",
     )
-    links = _links(spark, plain, reps, k, percent)
+    links = _links(spark, plain, classes, reps, k, percent)
     common.dropped(reps)
-    comp_of = classes if links is None else _with_comp(classes, components(links)).select("cls", F.col("comp").alias("rep"))
+    if links is None:
+        comp_of = classes.select("cls", F.col("doc_id").alias("component_id"))
+    else:
+        ends = classes.select(F.col("rep").alias("comp"), F.col("doc_id").alias("component_id"))
+        comp_of = _with_comp(classes.select("cls", "rep"), components(links)).join(ends, "comp").select("cls", "component_id")
     of_run = entries.select("cls", "run").join(comp_of, "cls")
     return (
         base.select("doc_id", "n_shingles", "cls", "run")
         .join(of_run, ["cls", "run"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .select(common.id_out("doc_id"), "n_shingles", common.id_out("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
     )
 
 
-def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
+def _links(spark, plain: DataFrame, classes: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame | None:
     """Confirmed links (u, v) between representatives that give the same components as all links; None without any list."""
-    posts = reps.select("rep", F.posexplode("values").alias("band", "value"))
+    posts = reps.select("rep", F.explode("values").alias("value"))
     # what is grouped by value is written before it is joined: both sides of such a join are then dealt out for it alone,
     # and adaptive execution can split the partition of a long list
     heads = common.stored(posts.groupBy("value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "heads")
@@ -319,8 +328,8 @@ def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
     n = ids.count()
     if not n:
         return None
-    wanted = ids.withColumnRenamed("rep", "id")
-    texts = plain.withColumnRenamed("doc_id", "id").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id", "left_semi")
+    wanted = classes.join(ids, "rep").select("doc_id", "h", F.col("rep").alias("id"))
+    texts = plain.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["doc_id", "h"]).select("id", "text")
     sets = common.stored(texts.mapInPandas(_sets(k), "id long, s binary, parity binary").dropDuplicates(["id"]), "sets")
     sigs = common.stored(reps.join(sets.select(F.col("id").alias("rep"), "parity"), "rep").select("rep", "n", "sig", "parity"), "signatures")
 
@@ -345,7 +354,7 @@ def _links(spark, plain: DataFrame, reps: DataFrame, k: int, percent: int) -> Da
         if spread.isEmpty():
             break
         if step + 1 == ROUNDS:
-            more = confirmed(_remainder(spread, sigs, percent))
+            more = confirmed(_remainder(spread, sigs, percent).distinct())
             break
         # the smallest member outside the first pivot's component is the next pivot
         nxt = common.stored(spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("p")), "pivots")
@@ -381,14 +390,14 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
         F.max(F.struct("c", "comp"))["comp"].alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")
     )
     members = spread.join(common.stored(most, "most"), "value").join(sigs, "rep").select(
-        "value", "band", "rep", "comp", "n", "sig", "parity", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
+        "value", "rep", "comp", "n", "sig", "parity", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
         (F.col("blocks") > 1).alias("cut"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"),
         F.when(F.col("blocks") > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(groups))).alias("group"),
     )
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = members.where("outer").withColumn("y", others).withColumn("x", F.col("own"))
     right = members.withColumn("x", others).withColumn("y", F.col("own"))
-    key, cols = ["cut", "group", "x", "y"], ["value", "band", "rep", "comp", "n", "sig", "parity", "outer"]
+    key, cols = ["cut", "group", "x", "y"], ["value", "rep", "comp", "n", "sig", "parity", "outer"]
     right = right.select([F.col(c).alias(f"o_{c}") for c in key + cols])
     return (
         left.select([F.col(c).alias(c) for c in key + cols]).groupBy(key)

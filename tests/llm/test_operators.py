@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import pytest
@@ -91,6 +92,19 @@ def test_near_edge(edge, empty):
     assert near_dedup.without_near_copies(edge).columns == edge.columns
 
 
+def test_near_shared_ids(spark):
+    """Texts that share an id, or have none, stay apart, under any partitioning."""
+    rng = random.Random(11)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(4)]
+    close = text[0].rsplit(" ", 1)[0] + " other"
+    rows = [(1, text[0]), (2, text[1]), (2, close), (2, text[2]), (None, text[2]), (None, text[3]), (7, text[3] + " "), (8, text[1])]
+    want = sorted([(1, 1, text[0]), (2, 2, text[1]), (2, 1, close), (2, 2, text[2]), (0, 2, text[2]), (0, 7, text[3]), (7, 7, text[3] + " "), (8, 2, text[1])])
+    for n in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = near_dedup.near_duplicates(df, 4).collect()
+        assert sorted((r.doc_id or 0, r.component_id) for r in got) == sorted((i, c) for i, c, _ in want)
+
+
 # --- language
 def test_language_accuracy(spark):
     d = common.documents(spark, "/root/testdata/sf0.01")
@@ -110,6 +124,47 @@ def test_language_phrases():
         assert all(w - 1 <= g <= w for g, w in zip(got, want)), (text, got, want)
 
 
+def test_language_whole_documents(rows):
+    """Phrase counts and chosen languages of whole documents, by plain search of the training text."""
+    import math
+
+    trained = {"x": (" ".join(t or "" for _, t in rows[:8]))[:4000], "y": (" ".join(t or "" for _, t in rows[40:48]))[:4000], "z": "le chat est dans la maison " * 20}
+    parser = language_id.CrossParser(trained)
+    as_text = lambda x: "".join(chr(c + 1) for c in x)
+    coded = {k: as_text(parser.symbols(t.lower()).tolist()) for k, t in trained.items()}
+    texts = [t or "" for _, t in rows[50:90]]
+    found = parser(texts)
+    for text, (lang, _) in zip(texts, found):
+        mine = parser.symbols(text.lower())
+        counts = parser.phrases([mine])[0].tolist()
+        want = [brute.longest_phrases(as_text(mine.tolist()), coded[k]) for k in parser.langs]
+        pieces = -(-len(mine) // language_id.PIECE)
+        assert all(w - pieces <= g <= w + pieces for g, w in zip(counts, want)), (counts, want)
+        cost = [(w + 1) * math.log2(max(2, len(coded[k]))) for k, w in zip(parser.langs, want)]
+        near = sorted(cost)
+        if near[0] and near[1] / near[0] > 1.05:
+            assert lang == parser.langs[cost.index(near[0])]
+
+
+def test_language_pieces(spark, docs, monkeypatch):
+    """The cut at PIECE symbols changes no language."""
+    texts = language_id.training_text(docs)
+    pairs = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    parser = language_id.CrossParser(texts)
+    cut = parser([t for _, t in pairs])
+    monkeypatch.setattr(language_id, "PIECE", 1 << 30)
+    assert [x for x, _ in parser([t for _, t in pairs])] == [x for x, _ in cut]
+
+
+def test_language_many_rare_labels(spark):
+    """Ten labels of one short document each change no other language's training text, nor its predictions."""
+    d = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    ids = [i for i in range(10**6, 10**6 + 40) if zlib.crc32(str(i).encode()) % 4 != 2][:10]
+    rare = spark.createDataFrame([(i, f"zw{chr(97 + n)}k plimf urga tenk {chr(97 + n) * 3}ovli dasp quor bint yelm frand", f"r{n}") for n, i in enumerate(ids)], "doc_id long, text string, lang string")
+    got = language_id.identify(d.union(rare)).join(d.select("doc_id", "lang"), "doc_id")
+    assert got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] >= 0.97
+
+
 def test_language_rare_label(spark):
     """One short document of a rare label, and one with many empty rows, leave the others' training text alone."""
     d = common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
@@ -124,7 +179,7 @@ def test_language_rare_label(spark):
 
 def test_language_edge(edge, empty):
     got = {r.doc_id: r for r in language_id.identify(edge).collect()}
-    assert got[4].lang_pred == got[5].lang_pred == got[6].lang_pred == got[10].lang_pred == "und" or got[10].lang_pred
+    assert got[4].lang_pred == got[5].lang_pred == got[6].lang_pred == got[10].lang_pred == "und"
     assert got[4].lang_pred == got[18].lang_pred == "und" and got[4].score == 0
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language_id.identify(empty).count() == 0

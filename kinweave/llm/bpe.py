@@ -202,7 +202,7 @@ def _encoding(vocabulary):
                     size += len(texts[j])
                     j += 1
                 ids = encoder(texts[i:j])
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[i:j].array, "ids": [x.astype("<u4").tobytes() for x in ids]})
+                yield pdf.drop(columns="text").iloc[i:j].assign(ids=[x.astype("<u4").tobytes() for x in ids])
                 i = j
 
     return run
@@ -213,7 +213,7 @@ def _decoding(vocabulary):
         table = vocabulary.value.bytes
         for pdf in batches:
             texts = [b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]).decode("utf-8", "replace") for x in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pdf["ids"], "decoded": texts})
+            yield pdf.assign(decoded=texts)
 
     return run
 
@@ -224,28 +224,32 @@ def load(spark, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
-def encode(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (binary: the token ids as little-endian unsigned 32-bit integers) for every row.
+def encode(docs: DataFrame, vocabulary, id_col: str = "doc_id", text_col: str = "text", *also: str) -> DataFrame:
+    """doc_id, the columns also (long, without nulls), ids (binary: the token ids as little-endian unsigned 32-bit integers) for
+    every row.
 
     Null text counts as empty and has no ids. Repeated rows and ids are encoded each on their own; other columns are
     ignored; an empty table gives an empty result. Texts are encoded whole, in chunks of documents of about CHUNK
     characters (one longer document is a chunk of its own).
     """
-    plain = docs.select(common.id_in(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInPandas(_encoding(vocabulary), "doc_id long, ids binary").select(common.id_out("doc_id"), "ids")
+    plain = docs.select(common.id_in(id_col).alias("doc_id"), *also, F.col(text_col).alias("text"))
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *also))
+    return plain.mapInPandas(_encoding(vocabulary), f"{schema}, ids binary").select(common.id_out("doc_id"), *also, "ids")
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
     """encoded with the column decoded: the text of the ids, special tokens included."""
-    rows = encoded.select(common.id_in("doc_id").alias("doc_id"), "ids")
-    return rows.mapInPandas(_decoding(vocabulary), "doc_id long, ids binary, decoded string").select(common.id_out("doc_id"), "ids", "decoded")
+    also = encoded.columns[1:-1]
+    rows = encoded.select(common.id_in("doc_id").alias("doc_id"), *also, "ids")
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *also))
+    return rows.mapInPandas(_decoding(vocabulary), f"{schema}, ids binary, decoded string").select(common.id_out("doc_id"), *also, "ids", "decoded")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, derived from encode() and decode()."""
+def round_trip(docs: DataFrame, path: str, *also: str) -> DataFrame:
+    """doc_id, the columns also, n_tokens, ids_sha256, decoded_sha256 of every document, derived from encode() and decode()."""
     vocabulary = load(docs.sparkSession, path)
-    return decode(encode(docs, vocabulary), vocabulary).select(
-        "doc_id",
+    return decode(encode(docs, vocabulary, "doc_id", "text", *also), vocabulary).select(
+        "doc_id", *also,
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -14,7 +14,7 @@ window within such a group: a source that holds a third of all rows is spread ov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -107,8 +107,16 @@ def mixed(
     )
 
 
+def written_place() -> Column:
+    """Of rows read from files that in_mixed_order() was written to: a number that orders them as the mixture does (the
+    writer's partition, its file, the row in it)."""
+    part = lambda i: F.regexp_extract("_metadata.file_name", r"part-([0-9]+)-.*-c([0-9]+)", i).cast("long")
+    return F.shiftleft(part(1), 44) + F.shiftleft(part(2), 34) + F.col("_metadata.row_index")
+
+
 def in_mixed_order(docs: DataFrame, **kwargs) -> DataFrame:
-    """docs, every row and column, sorted over all partitions into the mixture's order."""
+    """docs, every row and column, sorted over all partitions into the mixture's order. Written to files, they keep it: see
+    written_place()."""
     out = mixed(docs, **kwargs)
     n = common.partitions(docs.sparkSession)
     return out.repartitionByRange(n, "mix_slot", "mix_row").sortWithinPartitions("mix_slot", "mix_row").select([F.col(f"`{c}`") for c in docs.columns])

@@ -4,8 +4,10 @@ import hashlib
 
 import brute
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from kinweave.llm import common, exact_dedup, language_id, near_dedup
+from kinweave.llm import bpe, common, exact_dedup, language_id, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,8 +21,19 @@ def test_run(spark):
     rows = {i: t for i, t in rows.items() if exact[i][0] == i}
     near = brute.near_components(list(rows.items()), 5, 80)
     rows = {i: t for i, t in rows.items() if near[i][1] == i}
-    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.run(spark, SF).collect()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    got = {r.doc_id: r.decoded_sha256 for r in out}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows.items()}
+    # token ids as the library's, and the order of the mixture of the rows that are left
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    for r in out:
+        ids = library.encode(rows[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+    left = docs.where(F.col("doc_id").isin(list(rows)))
+    want = [r.doc_id for r in mixing.mixed(left).orderBy("mix_slot", "mix_row").collect()]
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.mix_place)] == want
 
 
 def test_stages_keep_columns(spark, folder):

@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
-    return bpe.round_trip(docs, bpe.default_path())
+    """mix_place (the rows' order in the mixture), token counts, digests of ids and decoded texts."""
+    return bpe.round_trip(docs.withColumn("mix_place", mixing.written_place()), bpe.default_path(), "mix_place")
 
 
 STAGES = [

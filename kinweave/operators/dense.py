@@ -1,7 +1,7 @@
 """Exact retrieval by inner product over unit vectors, and its evaluation.
 
-Queries are cut into blocks and each target partition multiplies its matrix by one block's at a time, keeps the best k of
-each query, and only these k are shuffled. The queries are broadcast block by block, of at most BLOCK vectors each.
+Queries are cut into blocks of BLOCK vectors, broadcast one by one. One pass over the targets multiplies each batch of
+TARGETS vectors by all blocks in turn and keeps the best k of each query, and only these k are shuffled.
 """
 
 from __future__ import annotations
@@ -18,48 +18,61 @@ from pyspark.sql import Window as W
 
 from ..session import ship_package
 
-BLOCK = 20_000
+#: Queries of a broadcast block, and targets multiplied by it at a time: their scores take 32 MB.
+BLOCK, TARGETS = 2_000, 2_000
 
 
-def _best(shared, k: int):
+def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row by score descending, then id."""
+    if scores.shape[1] > k:
+        # everything that ties with the k-th score stays until ids decide
+        least = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        width = int((scores >= least[:, None]).sum(1).max())
+        at = np.argpartition(-scores, width - 1, axis=1)[:, :width] if width < scores.shape[1] else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+        scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, -scores))[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _best(blocks, k: int):
     def run(batches):
-        ids, matrix = shared.value
-        best = None
+        best: list = [None] * len(blocks)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            targets = pdf["target_id"].to_numpy()
-            scores = matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T
-            columns = np.broadcast_to(targets, scores.shape)
-            if best is not None:
-                scores, columns = np.concatenate((best[0], scores), 1), np.concatenate((best[1], columns), 1)
-            # by score descending, then id
-            order = np.lexsort((columns, -np.round(scores, 9)))[:, :k]
-            best = np.take_along_axis(scores, order, 1), np.take_along_axis(columns, order, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), "target_id": best[1].ravel(), "score": np.round(best[0].ravel(), 9)})
+            for i in range(0, len(pdf), TARGETS):
+                targets = pdf["target_id"].to_numpy()[i : i + TARGETS]
+                matrix = np.stack(pdf["v"].iloc[i : i + TARGETS].to_numpy()).astype(np.float64).T
+                for n, shared in enumerate(blocks):
+                    queries, vectors = shared.value
+                    scores = np.round(vectors @ matrix, 9)
+                    scores[queries[:, None] == targets] = -np.inf
+                    found = _best_of(scores, np.broadcast_to(targets, scores.shape), k)
+                    if best[n] is not None:
+                        found = _best_of(*(np.concatenate(x, 1) for x in zip(best[n], found)), k)
+                    best[n] = found
+        for n, found in enumerate(best):
+            if found is not None:
+                scores, ids = found
+                there = ~np.isneginf(scores)
+                yield pd.DataFrame({"query_id": np.broadcast_to(blocks[n].value[0][:, None], ids.shape)[there], "target_id": ids[there], "score": scores[there]})
 
     return run
 
 
 def top_k(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """query_id, target_id, score, rank: the k targets of the largest inner product, ties by id. queries and targets: id, v."""
+    """query_id, target_id, score, rank: the k targets of the largest inner product, ties by id; a query is not among its
+    own targets. queries and targets: id, v."""
     spark = queries.sparkSession
     ship_package(spark)
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-queries.count() // BLOCK))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
+    shared = []
     for i in range(blocks):
         rows = dealt.where(F.col("block") == i).orderBy("id").select("id", "v").toPandas()  # about BLOCK vectors
         if len(rows):
-            shared = spark.sparkContext.broadcast((rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.float64)))
-            parts.append(targets.select(F.col("id").alias("target_id"), "v").mapInPandas(_best(shared, k), "query_id long, target_id long, score double"))
-    if not parts:
-        parts = [targets.limit(0).select(F.col("id").alias("query_id"), F.col("id").alias("target_id"), F.lit(0.0).alias("score"))]
+            shared.append(spark.sparkContext.broadcast((rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.float64))))
+    found = targets.select(F.col("id").alias("target_id"), "v").mapInPandas(_best(shared, k), "query_id long, target_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "target_id")
-    return reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def merged(*results: DataFrame, k: int) -> DataFrame:

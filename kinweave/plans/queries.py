@@ -714,7 +714,12 @@ def transformations(spark, sf_dir):
 # --- dense retrieval -----------------------------------------------------------------------------------------------
 def _vectors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return e.where("id % 20 = 0"), e.where("id % 20 <> 0")
+    return e.where("id % 20 = 0"), e
+
+
+def _same_label(q, t):
+    pairs = q.select(F.col("id").alias("query_id"), "label").join(t.select(F.col("id").alias("target_id"), "label"), "label")
+    return pairs.where("query_id <> target_id")
 
 
 def _dense(spark, sf_dir, k=200):
@@ -724,7 +729,7 @@ def _dense(spark, sf_dir, k=200):
 
 _DENSE = """
 e AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings),
-d AS (SELECT q.id AS query_id, t.id AS target_id, round(list_dot_product(q.v::DOUBLE[], t.v::DOUBLE[]), 9) AS score, q.label = t.label AS same FROM e q JOIN e t ON q.id % 20 = 0 AND t.id % 20 <> 0),
+d AS (SELECT q.id AS query_id, t.id AS target_id, round(list_dot_product(q.v::DOUBLE[], t.v::DOUBLE[]), 9) AS score, q.label = t.label AS same FROM e q JOIN e t ON q.id % 20 = 0 AND t.id <> q.id),
 top AS (SELECT * FROM (SELECT query_id, target_id, score, same, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS INTEGER) AS rank FROM d) WHERE rank <= 200)"""
 
 
@@ -747,16 +752,16 @@ def dense_merge(spark, sf_dir):
 )
 def dense_recall_at_k(spark, sf_dir):
     q, t = _vectors(spark, sf_dir)
-    relevant = q.select(F.col("id").alias("query_id"), "label").join(t.select(F.col("id").alias("target_id"), "label"), "label").drop("label")
+    relevant = _same_label(q, t).drop("label")
     return dense.recall_at(dense.top_k(q, t, 200), relevant, [10, 25, 50, 100, 200])
 
 
-_CLASSICAL = "cl AS (SELECT q.id AS query_id, t.id AS target_id, 'classical' AS blocks FROM e q JOIN e t ON q.label = t.label AND q.id % 20 = 0 AND t.id % 20 <> 0)"
+_CLASSICAL = "cl AS (SELECT q.id AS query_id, t.id AS target_id, 'classical' AS blocks FROM e q JOIN e t ON q.label = t.label AND q.id % 20 = 0 AND t.id <> q.id)"
 
 
 def _classical(spark, sf_dir):
     q, t = _vectors(spark, sf_dir)
-    return q.select(F.col("id").alias("query_id"), "label").join(t.select(F.col("id").alias("target_id"), "label"), "label").select("query_id", "target_id", F.array(F.lit("classical")).alias("blocks"))
+    return _same_label(q, t).select("query_id", "target_id", F.array(F.lit("classical")).alias("blocks"))
 
 
 @query("hybrid_candidates", O.with_(_DENSE, _CLASSICAL, select="SELECT coalesce(c.query_id, t.query_id) AS query_id, coalesce(c.target_id, t.target_id) AS target_id, coalesce(blocks, 'embedding') AS blocks, coalesce(rank, 999) AS embedding_rank, rank IS NOT NULL AS embedding_hit FROM cl c FULL JOIN (SELECT * FROM top WHERE rank <= 25) t ON t.query_id = c.query_id AND t.target_id = c.target_id"))
@@ -772,7 +777,7 @@ def dense_rank_of(spark, sf_dir):
 @query("dense_hard_negatives", O.with_(_DENSE, select="\nSELECT query_id, target_id, score, rank FROM top WHERE rank <= 25 AND score >= 0.2 AND NOT same"), ["score"])
 def dense_hard_negatives(spark, sf_dir):
     q, t = _vectors(spark, sf_dir)
-    relevant = q.select(F.col("id").alias("query_id"), "label").join(t.select(F.col("id").alias("target_id"), "label"), "label").drop("label")
+    relevant = _same_label(q, t).drop("label")
     return dense.hard_negatives(dense.top_k(q, t, 25), relevant, 25, 0.2)
 
 
@@ -850,7 +855,7 @@ def recovery_status(spark, sf_dir):
     "dense_recall_by_category",
     O.with_(
         _DENSE,
-        "half AS (SELECT q.id AS query_id, t.id AS target_id, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v[1:32]::DOUBLE[], t.v[1:32]::DOUBLE[]), 9) DESC, t.id) AS INTEGER) AS rank FROM e q JOIN e t ON q.id % 20 = 0 AND t.id % 20 <> 0)",
+        "half AS (SELECT q.id AS query_id, t.id AS target_id, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.v[1:32]::DOUBLE[], t.v[1:32]::DOUBLE[]), 9) DESC, t.id) AS INTEGER) AS rank FROM e q JOIN e t ON q.id % 20 = 0 AND t.id <> q.id)",
         "pr AS (SELECT d.query_id, d.target_id, (SELECT label FROM e WHERE id = d.query_id) AS category, t.rank AS r1, o.rank AS r2 FROM d LEFT JOIN top t ON t.query_id = d.query_id AND t.target_id = d.target_id LEFT JOIN half o ON o.query_id = d.query_id AND o.target_id = d.target_id AND o.rank <= 200 WHERE d.same)",
         select="\nSELECT category, k, count(*) AS n, avg(CAST(coalesce(r1 <= k, false) AS INTEGER)) AS first_recall, avg(CAST(coalesce(r2 <= k, false) AS INTEGER)) AS second_recall, avg(CAST(coalesce(r1 <= k, false) OR coalesce(r2 <= k, false) AS INTEGER)) AS union_recall FROM pr CROSS JOIN (VALUES (10), (25), (50), (100), (200)) AS x(k) GROUP BY 1, 2",
     ),
@@ -859,7 +864,7 @@ def recovery_status(spark, sf_dir):
 def dense_recall_by_category(spark, sf_dir):
     """A ranking by all dimensions and one by the first half of them."""
     q, t = _vectors(spark, sf_dir)
-    relevant = q.select(F.col("id").alias("query_id"), "label").join(t.select(F.col("id").alias("target_id"), "label"), "label").withColumnRenamed("label", "category")
+    relevant = _same_label(q, t).withColumnRenamed("label", "category")
     first, second = dense.top_k(q, t, 200), dense.top_k(*(x.withColumn("v", F.slice("v", 1, 32)) for x in (q, t)), 200)
     both = relevant.join(first.select("query_id", "target_id", F.col("rank").alias("first_rank")), ["query_id", "target_id"], "left")
     return dense.recall_by_category(both.join(second.select("query_id", "target_id", F.col("rank").alias("second_rank")), ["query_id", "target_id"], "left"), [10, 25, 50, 100, 200])

@@ -38,10 +38,19 @@ def house_token_variants(featured: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def sweep(scored: DataFrame, truth: DataFrame, spine: DataFrame, thresholds=None) -> DataFrame:
-    """The decision metrics at each threshold. Scores are joined with the constant table of thresholds once."""
-    grid = scored.sparkSession.createDataFrame([(float(t),) for t in (thresholds or config.THRESHOLDS)], "threshold double")
-    kept = scored.join(F.broadcast(grid), F.col("score") >= F.col("threshold")).select("threshold", *PAIR)
-    return metrics.decision_metrics(kept, truth, spine.crossJoin(F.broadcast(grid)), ["threshold"])
+    """The decision metrics at each threshold. A pair counts once, at the highest threshold it passes; each query sums its
+    counts from there down, so no pair is copied."""
+    grid = sorted(float(t) for t in (thresholds or config.THRESHOLDS))
+    passed = F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: t <= F.col("score")))
+    t = truth.select("source1_entity_id", F.col("target_id").alias("candidate_entity_id")).distinct()
+    pairs = scored.groupBy(*PAIR).agg(F.max(passed).alias("passed")).join(t.withColumn("hit", F.lit(1)), PAIR, "left")
+    at = [(F.col("passed") > i, F.col("hit") == 1) for i in range(len(grid))]
+    found = pairs.groupBy("source1_entity_id").agg(F.array(*[F.struct(F.lit(g).alias("threshold"), F.count(F.when(p, 1)).alias("n_pred"), F.count(F.when(p & hit, 1)).alias("tp")) for g, (p, hit) in zip(grid, at)]).alias("x"))
+    none = F.array(*[F.struct(F.lit(g).alias("threshold"), F.lit(0).cast("long").alias("n_pred"), F.lit(0).cast("long").alias("tp")) for g in grid])
+    true = t.groupBy("source1_entity_id").agg(F.count("*").alias("n_true"))
+    counts = spine.select("source1_entity_id").join(found, "source1_entity_id", "left").join(true, "source1_entity_id", "left")
+    each = counts.select(F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(F.coalesce("x", none)).alias("x")).select("n_true", "x.*")
+    return metrics.decision_metrics_of(each, ["threshold"])
 
 
 def best_threshold(swept: DataFrame) -> DataFrame:

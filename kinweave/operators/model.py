@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from .features import FEATURES
 
 
-def train(pairs: DataFrame, features: list[str] = FEATURES, rounds: int = 40, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """The model of pairs with the features and a label."""
+#: Rounds and learning rate of the published training, which stops early on the validation side.
+PUBLISHED = {"rounds": 350, "step": 0.04}
+
+
+def train(pairs: DataFrame, features: list[str] = FEATURES, rounds: int = 40, step: float = 0.1, seed: int = 42, valid: str | None = None, tolerance: float = 0.001) -> PipelineModel:
+    """The model of pairs with the features and a label. valid: a boolean column that marks pairs kept out of training; rounds
+    stop when the error on them no longer falls by the tolerance."""
     gbt = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, stepSize=step, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=25, seed=seed)
+    if valid is not None:
+        gbt = gbt.setValidationIndicatorCol(valid).setParams(validationTol=tolerance)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), gbt]).fit(pairs.withColumn("label", F.col("label").cast("double")))
 
 

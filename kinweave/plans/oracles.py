@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .. import config
 
 
@@ -180,18 +182,19 @@ FAST = {
 }
 
 
-def fast_hits(names: list[str] | None = None, name: str = "hits") -> str:
+def fast_hits(names: list[str] | None = None, name: str = "hits", prefix: str = "") -> str:
+    """CTEs up to the fast blocks' pairs; prefix: of the inner tables, where hits() stands beside."""
     names = names or list(FAST)
     limits = ", ".join(f"('{n}', {FAST[n][2]}, {FAST[n][3]}, {FAST[n][4]})" for n in names)
     keys = lambda n, i: f"SELECT entity_id, source, country_norm AS country, '{n}' AS block, unnest({FAST[n][i]}) AS key, unnest(range(len({FAST[n][i]}))) AS pos FROM nm WHERE country_norm <> ''"
     return f"""
-lim AS (SELECT * FROM (VALUES {limits}) AS v(block, least, cap, most)),
-filed AS (SELECT * FROM (SELECT f.*, cap, row_number() OVER (PARTITION BY source, country, block, key ORDER BY entity_id, pos) AS r FROM ({' UNION ALL '.join(keys(n, 0) for n in names)}) f JOIN lim USING (block) WHERE source <> 'S1' AND length(key) >= least) WHERE r <= cap),
-asked AS (SELECT * FROM ({' UNION ALL '.join(keys(n, 1) for n in names)}) WHERE source = 'S1'),
+{prefix}lim AS (SELECT * FROM (VALUES {limits}) AS v(block, least, cap, most)),
+{prefix}filed AS (SELECT * FROM (SELECT f.*, cap, row_number() OVER (PARTITION BY source, country, block, key ORDER BY entity_id, pos) AS r FROM ({' UNION ALL '.join(keys(n, 0) for n in names)}) f JOIN {prefix}lim lim USING (block) WHERE source <> 'S1' AND length(key) >= least) WHERE r <= cap),
+{prefix}asked AS (SELECT * FROM ({' UNION ALL '.join(keys(n, 1) for n in names)}) WHERE source = 'S1'),
 {name} AS (
   SELECT DISTINCT source1_entity_id, candidate_entity_id, source, block FROM (
     SELECT a.entity_id AS source1_entity_id, f.entity_id AS candidate_entity_id, f.source, a.block, row_number() OVER (PARTITION BY a.entity_id, f.source, a.block ORDER BY a.pos, f.r) AS place, most
-    FROM asked a JOIN filed f ON f.country = a.country AND f.block = a.block AND f.key = a.key JOIN lim ON lim.block = a.block) WHERE place <= most
+    FROM {prefix}asked a JOIN {prefix}filed f ON f.country = a.country AND f.block = a.block AND f.key = a.key JOIN {prefix}lim lim ON lim.block = a.block) WHERE place <= most
 )"""
 
 
@@ -231,8 +234,12 @@ def overlap(x: str, y: str) -> str:
 RULE = f"scored AS (SELECT r.source1_entity_id, r.candidate_entity_id, r.source, r.blocks, r.support, r.rank, round(({lev('a.name_norm', 'b.name_norm')}) * ({lev('a.address_norm', 'b.address_norm')}), 6) AS score FROM ranked r JOIN nm a ON a.entity_id = r.source1_entity_id JOIN nm b ON b.entity_id = r.candidate_entity_id)"
 
 
+#: Tables that several parts of a statement read: computed once.
+_SHARED = re.compile(r"\b(ev|nm|truth|hits|fast|pairs|ranked|scored|missed) AS \(")
+
+
 def with_(*ctes: str, select: str) -> str:
-    return "WITH " + ",".join(ctes) + "\n" + select
+    return "WITH " + _SHARED.sub(r"\1 AS MATERIALIZED (", ",".join(ctes)) + "\n" + select
 
 
 def scored(select: str) -> str:

@@ -43,6 +43,12 @@ def _sides(spark, sf_dir):
     return n.where("entity_id like 'S1-%'"), n.where("entity_id not like 'S1-%'")
 
 
+def _text_sides(spark, sf_dir):
+    """The entities over documents: names with a long tail of words."""
+    n = X.normalized(entities.texts(spark, sf_dir), unicode=False).persist()
+    return n.where("entity_id like 'S1-%'"), n.where("entity_id not like 'S1-%'")
+
+
 def _spine(spark, sf_dir):
     return entities.businesses(spark, sf_dir).where("entity_id like 'S1-%'").select(F.col("entity_id").alias("source1_entity_id"))
 
@@ -185,6 +191,11 @@ def postings_pruned(spark, sf_dir):
 
 
 for _name in _ALL:
+    if _name in ("name_token", "rare_token", "address_token"):  # names of part are too few: each of their words is over the limits
+        query(f"block_{_name}", O.with_(O.TEXTS, O.NORMALIZED, O.hits([_name]), select="SELECT source1_entity_id, candidate_entity_id, source, block, place FROM hits"))(
+            lambda spark, sf_dir, name=_name: blocking.research_hits(*_text_sides(spark, sf_dir), [name])
+        )
+        continue
     query(f"block_{_name}", O.over_hits([_name], "SELECT source1_entity_id, candidate_entity_id, source, block, place FROM hits"))(_hits([_name]))
 for _name in blocking.FAST:
     query(f"fast_block_{_name}", O.with_(O.BUSINESSES, O.NORMALIZED, O.fast_hits([_name]), select="SELECT * FROM hits"))(
@@ -209,6 +220,8 @@ _ranking("rank_base", _E, config.BASE_WEIGHTS, ["support", "strength", "top", _I
 _ranking("rank_extended", _H, config.RANK_WEIGHTS, ["support", "strength", "top", _ID], 200, True, candidates.extended_ranked)
 _ranking("rank_support", _H, config.RANK_WEIGHTS, ["support", _ID], 200, False, candidates.support_ranked)
 _ranking("prune_priority", _E, config.BUDGET_WEIGHTS, ["top", "support", "strength", _ID], 5, False, lambda h: candidates.pruned(h, "priority", 5))
+for _budget in (25, 50, 100, 200):
+    _ranking(f"prune_priority_{_budget}", _E, config.BUDGET_WEIGHTS, ["top", "support", "strength", _ID], _budget, False, lambda h, n=_budget: candidates.pruned(h, "priority", n))
 _ranking("prune_multi_block", _E, config.BUDGET_WEIGHTS, ["support", "strength", "top", _ID], 5, False, lambda h: candidates.pruned(h, "multi_block", 5))
 
 
@@ -575,19 +588,35 @@ def submission_rows(spark, sf_dir):
     return decision.submission(decision.matches(_scored(spark, sf_dir)), _spine(spark, sf_dir))
 
 
+_PLANTED = """
+numbered AS (SELECT source1_entity_id, nullif(matched_entity_ids, '') AS l, CAST(string_split(source1_entity_id, '-')[2] AS BIGINT) AS n FROM sub),
+planted AS (
+  SELECT source1_entity_id, concat_ws(',', l, CASE WHEN n % 7 = 0 THEN l END, CASE WHEN n % 11 = 0 THEN 'S1-5' END, CASE WHEN n % 13 = 0 THEN ' X9-7 ,,S2-999999999' END) AS l
+  FROM numbered CROSS JOIN (VALUES (1), (2)) AS copies(copy) WHERE n % 17 <> 0 AND (copy = 1 OR n % 19 = 0) UNION ALL SELECT 'S1-surplus', ''),
+ids AS (SELECT source1_entity_id, trim(x) AS id FROM (SELECT source1_entity_id, unnest(string_split(l, ',')) AS x FROM planted) WHERE trim(x) <> '')"""
+
+
 @query(
     "validate_submission",
     O.with_(
-        *_DECIDED[:-1], _LISTS,
+        *_DECIDED[:-1], _LISTS, _PLANTED,
         select="""
-SELECT 'duplicate query' AS problem, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'duplicate id in a list', 0 UNION ALL SELECT 'source 1 id', 0 UNION ALL SELECT 'unknown prefix', 0
-UNION ALL SELECT 'missing query', count(*) FROM spine WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM sub) UNION ALL SELECT 'surplus query', count(*) FROM sub WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM spine)
-UNION ALL SELECT 'unknown id', count(*) FROM kept WHERE candidate_entity_id NOT IN (SELECT entity_id FROM ev)""",
+SELECT 'duplicate query' AS problem, count(*) AS n FROM (SELECT 1 FROM planted GROUP BY source1_entity_id HAVING count(*) > 1)
+UNION ALL SELECT 'duplicate id in a list', count(*) FROM (SELECT 1 FROM ids GROUP BY source1_entity_id, id HAVING count(*) > 1)
+UNION ALL SELECT 'source 1 id', count(*) FROM ids WHERE id LIKE 'S1-%' UNION ALL SELECT 'unknown prefix', count(*) FROM ids WHERE NOT regexp_matches(id, '^S[123]-')
+UNION ALL SELECT 'missing query', count(*) FROM spine WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM planted)
+UNION ALL SELECT 'surplus query', count(*) FROM (SELECT DISTINCT source1_entity_id FROM planted) WHERE source1_entity_id NOT IN (SELECT source1_entity_id FROM spine)
+UNION ALL SELECT 'unknown id', count(*) FROM ids WHERE id NOT IN (SELECT entity_id FROM ev)""",
     ),
 )
 def validate_submission(spark, sf_dir):
-    sub = submission_rows(spark, sf_dir)
-    return validate.submission_problems(sub, "matched_entity_ids", _spine(spark, sf_dir), entities.businesses(spark, sf_dir))
+    """The resolver's own submission with planted faults: lists twice, ids of source 1, of unknown sources and unknown ids,
+    rows left out, repeated and added."""
+    n, own = F.split("source1_entity_id", "-")[1].cast("long"), F.nullif("matched_entity_ids", F.lit(""))
+    extra = [F.when(n % 7 == 0, own), F.when(n % 11 == 0, F.lit("S1-5")), F.when(n % 13 == 0, F.lit(" X9-7 ,,S2-999999999"))]
+    rows = submission_rows(spark, sf_dir).where(n % 17 != 0).select("source1_entity_id", F.concat_ws(",", own, *extra).alias("matched_entity_ids"))
+    planted = rows.union(rows.where(n % 19 == 0)).union(spark.range(1).select(F.lit("S1-surplus"), F.lit("")))
+    return validate.submission_problems(planted, "matched_entity_ids", _spine(spark, sf_dir), entities.businesses(spark, sf_dir))
 
 
 @query("containment_audit", O.scored("SELECT source1_entity_id, candidate_entity_id AS id FROM scored WHERE score >= 0.5 AND rank > 3"))
@@ -606,6 +635,12 @@ def resume_pending(spark, sf_dir):
     return decision.pending(b.where("entity_id like 'S1-%'"), done).select("entity_id")
 
 
+@query("truth_pairs", O.with_(O.BUSINESSES, O.TRUTH, select="SELECT DISTINCT source1_entity_id, target_id FROM truth WHERE target_id IN (SELECT entity_id FROM ev WHERE country = 'India')"))
+def truth_pairs(spark, sf_dir):
+    """Lists of matched ids taken apart again, and scoped to the targets of one country."""
+    return entities.truth_pairs(truth_lists(spark, sf_dir), entities.businesses(spark, sf_dir).where("country = 'India'"))
+
+
 @query("truth_lists", O.with_(O.BUSINESSES, O.TRUTH, select="SELECT source1_entity_id, string_agg(DISTINCT target_id, ',' ORDER BY target_id) AS matched_entity_ids FROM truth GROUP BY 1"))
 def truth_lists(spark, sf_dir):
     lists = _truth(spark, sf_dir).groupBy("source1_entity_id").agg(F.array_sort(F.collect_set("target_id")).alias("ids"))
@@ -674,7 +709,7 @@ def fp_forensics(spark, sf_dir):
     return false.select(*PAIR, forensics.false_positive_category().alias("category"), forensics.false_merge_reasons().alias("reasons"))
 
 
-_MISSED = "missed AS (SELECT DISTINCT t.source1_entity_id, t.target_id AS candidate_entity_id FROM truth t WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.source1_entity_id = t.source1_entity_id AND h.candidate_entity_id = t.target_id))"
+_MISSED = "missed AS (SELECT DISTINCT t.source1_entity_id, t.target_id AS candidate_entity_id FROM truth t LEFT JOIN (SELECT DISTINCT source1_entity_id, candidate_entity_id FROM hits) h ON h.source1_entity_id = t.source1_entity_id AND h.candidate_entity_id = t.target_id WHERE h.source1_entity_id IS NULL)"
 _MJOIN = "FROM missed r JOIN nm a ON a.entity_id = r.source1_entity_id JOIN nm b ON b.entity_id = r.candidate_entity_id"
 _INITIALS = lambda r: f"array_to_string(list_transform({r}.name_tokens, lambda t: left(t, 1)), '')"
 _MR = f"coalesce(nullif(concat_ws(' | ', CASE WHEN {_MISSING} THEN 'address missing' END, CASE WHEN {_LEVN} < 0.40 THEN 'alias or other name' END, CASE WHEN {_LEVN} >= 0.70 THEN 'high similarity lost' END, CASE WHEN {_eq('house_number')} AND coalesce(a.name_tokens[1], '') <> coalesce(b.name_tokens[1], '') THEN 'same house, other first word' END, CASE WHEN {_INITIALS('a')} = {_INITIALS('b')} AND {_LEVN} < 0.70 THEN 'same initials' END), ''), 'general tail')"
@@ -809,7 +844,16 @@ def block_investigation(spark, sf_dir):
     return candidates.block_investigation(h, _truth(spark, sf_dir), _spine(spark, sf_dir), featured, _ONE_BLOCK)
 
 
-@query("miss_kinds", O.with_(*_DECIDED[:-1], select="SELECT t.source1_entity_id, t.target_id AS candidate_entity_id, CASE WHEN EXISTS (SELECT 1 FROM ranked r WHERE r.source1_entity_id = t.source1_entity_id AND r.candidate_entity_id = t.target_id AND r.rank <= 2) THEN 'B Model' ELSE 'A Blocking' END AS kind FROM (SELECT DISTINCT * FROM truth) t WHERE NOT EXISTS (SELECT 1 FROM scored k WHERE k.score >= 0.95 AND k.source1_entity_id = t.source1_entity_id AND k.candidate_entity_id = t.target_id)"))
+@query(
+    "miss_kinds",
+    O.with_(
+        *_DECIDED[:-1],
+        select="""
+SELECT t.source1_entity_id, t.target_id AS candidate_entity_id, CASE WHEN r.rank IS NULL THEN 'A Blocking' ELSE 'B Model' END AS kind
+FROM (SELECT DISTINCT * FROM truth) t LEFT JOIN (SELECT source1_entity_id, candidate_entity_id, rank FROM ranked WHERE rank <= 2) r ON r.source1_entity_id = t.source1_entity_id AND r.candidate_entity_id = t.target_id
+LEFT JOIN (SELECT source1_entity_id, candidate_entity_id, score FROM scored WHERE score >= 0.95) k ON k.source1_entity_id = t.source1_entity_id AND k.candidate_entity_id = t.target_id WHERE k.score IS NULL""",
+    ),
+)
 def miss_kinds(spark, sf_dir):
     """With a high threshold, and candidates cut to two."""
     ranked = _production(spark, sf_dir)
@@ -840,7 +884,7 @@ def hybrid_sampled(spark, sf_dir):
         """
 SELECT m.source1_entity_id, m.candidate_entity_id, coalesce(r.rank, 999) AS embedding_rank, CASE WHEN r.rank <= 10 AND coalesce(k.score, 0.0) >= 0.5 THEN 'A accepted' WHEN r.rank <= 10 THEN 'B rejected' ELSE 'C not retrieved' END AS status
 FROM missed m LEFT JOIN ranked r ON r.source1_entity_id = m.source1_entity_id AND r.candidate_entity_id = m.candidate_entity_id LEFT JOIN scored k ON k.source1_entity_id = m.source1_entity_id AND k.candidate_entity_id = m.candidate_entity_id""",
-        _MISSED, ",".join([O.fast_hits(name="fast").replace("lim AS", "flim AS").replace("JOIN lim", "JOIN flim").replace("flim.block", "flim.block").replace("lim.block", "lim.block").replace("filed AS", "ffiled AS").replace("JOIN filed", "JOIN ffiled").replace("asked AS", "fasked AS").replace("FROM asked", "FROM fasked").replace("fflim", "flim").replace("ON lim.block", "ON flim.block"), O.united(config.RANK_WEIGHTS, "fast"), O.ranked(["support", "strength", "candidate_entity_id"], 20, False)]), O.RULE,
+        _MISSED, ",".join([O.fast_hits(name="fast", prefix="f"), O.united(config.RANK_WEIGHTS, "fast"), O.ranked(["support", "strength", "candidate_entity_id"], 20, False)]), O.RULE,
     ),
 )
 def recovery_status(spark, sf_dir):

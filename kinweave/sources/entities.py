@@ -46,6 +46,14 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="")
 
 
+def truth_pairs(truth: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """source1_entity_id, target_id of a truth table's lists (matched_entity_ids, joined by commas), each pair once; with
+    targets only those in the pool."""
+    each = truth.select("source1_entity_id", F.explode(F.split(F.coalesce("matched_entity_ids", F.lit("")), ",")).alias("target_id"))
+    pairs = each.select("source1_entity_id", F.trim("target_id").alias("target_id")).where("target_id <> ''").distinct()
+    return pairs if targets is None else pairs.join(targets.select(F.col("entity_id").alias("target_id")), "target_id", "left_semi").select("source1_entity_id", "target_id")
+
+
 def id_list(ids) -> F.Column:
     """Trimmed ids without blanks and repeats, in their order, joined by commas."""
     return F.array_join(F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != "")), ",")

@@ -203,3 +203,34 @@ def test_stream(spark, tmp_path):
     run.awaitTermination()
     got = {r.source1_entity_id: r.matched_entity_ids for r in spark.read.parquet(str(tmp_path / "out" / "matches")).collect()}
     assert got == {r.source1_entity_id: r.matched_entity_ids for r in R.resolve(spark.createDataFrame(S1, COLUMNS), targets)[0].collect()} and len(got) == 4
+
+
+def test_files_to_files(spark, tmp_path):
+    """From TSV to TSV, resumed after new queries, and after a run that broke off."""
+    import shutil
+
+    from kinweave.operators import features, model
+    from kinweave.plans import resolve
+    from kinweave.sources import entities
+
+    head = "entity_id\tbusiness_name\tbusiness_address\tcountry\n"
+    one = [f"S1-{i}\tAcme {w} Works Ltd\t{i} Main Street, 1000{i}\tUS\n" for i, w in enumerate(["Alpha", "Beta", "Gamma", "Delta"])]
+    (tmp_path / "t_source1.tsv").write_text(head + "".join(one[:2]))
+    (tmp_path / "t_source2.tsv").write_text(head + "".join(x.replace("S1-", "S2-") for x in one))
+    (tmp_path / "t_source3.tsv").write_text(head + "".join(x.replace("S1-", "S3-").replace("Ltd", "Limited") for x in one[1:]))
+    out = str(tmp_path / "out")
+    run = lambda **kw: {r.problem: r.n for r in resolve.resolve_files(spark, str(tmp_path), "t", out, **kw).collect()}
+    assert not any(run().values())
+    (tmp_path / "t_source1.tsv").write_text(head + "".join(one))
+    assert not any(run().values())
+    lists = lambda: {r[0]: r[1] for n in (0, 1) for r in entities.read_tsv(spark, f"{out}/matches/run={n}", entities.MATCH_COLUMNS).collect()}
+    want = {"S1-0": "S2-0", "S1-1": "S2-1,S3-1", "S1-2": "S2-2,S3-2", "S1-3": "S2-3,S3-3"}
+    assert {k: ",".join(x for x in v.split(",") if x[3:] == k[3:]) for k, v in lists().items()} == want
+    shutil.rmtree(f"{out}/matches/run=1")
+    assert not any(run().values()) and len(lists()) == 4
+    assert not any(run().values())  # nothing left to do
+    pairs = spark.createDataFrame([(f"q{i}", i % 2, i % 10 == 0, *[float((i * 7 + j) % 5 + 3 * (i % 2)) for j in range(len(features.FEATURES))]) for i in range(200)], ["source1_entity_id", "label", "held", *features.FEATURES])
+    fitted = model.train(pairs, rounds=30, valid="held")
+    assert fitted.stages[-1].getNumTrees <= 30
+    q, t = (entities.load(spark, str(tmp_path), "t", n) for n in ("source1", "source2"))
+    assert resolve.resolve(q, t, model=fitted)[0].count() == 4

@@ -190,7 +190,7 @@ def test_language_edge(edge, empty):
 # --- mixing
 def test_schedule(spark):
     weights = {"a": 7, "b": 3, "c": 1, "d": 5}
-    w = spark.createDataFrame(list(weights.items()), "source string, m long")
+    w = spark.createDataFrame([("", *x) for x in weights.items()], "grp string, source string, m long")
     got = {(r.source, r.i): r["at"] for r in mixing.period(w).collect()}
     want = {x: t for t, x in enumerate(brute.schedule(weights, 16))}
     assert got == want
@@ -199,13 +199,48 @@ def test_schedule(spark):
             assert abs(sum(1 for (x, _), at in got.items() if x == s and at < t) - t * m / 16) < 1
 
 
+def test_long_schedule(spark):
+    weights = {f"s{i}": 1 + (i * i) % 97 for i in range(30)}
+    w = spark.createDataFrame([("", *x) for x in weights.items()], "grp string, source string, m long")
+    got = {(r.source, r.i): r["at"] for r in mixing.period(w).collect()}
+    assert got == {x: t for t, x in enumerate(brute.schedule(weights, sum(weights.values())))}
+
+
+def _farthest(order, weights, until):
+    """How far, in blocks, any source gets from its target share in the first slots of an order of sources."""
+    total, done, worst = sum(weights.values()), dict.fromkeys(weights, 0), 0
+    for t, s in enumerate(order[:until], 1):
+        done[s] += 1
+        worst = max(worst, *(abs(done[x] - t * w / total) for x, w in weights.items()))
+    return worst
+
+
+def test_target_weights_are_met(spark, monkeypatch):
+    """Against the weights asked for: one heavy source among thirty small ones, weights in steps of 1 / RESOLUTION, and groups."""
+    cases = [({"heavy": 0.334, **{f"s{i:02}": 0.0222 for i in range(30)}}, 1000, 1.0), ({"a": 0.2, "b": 0.3, "c": 0.001, "d": 0.499}, 1000, 1.0), ({"heavy": 0.3, **{f"s{i:02}": 0.01 + i * 0.0007 for i in range(40)}}, 16, 1.6)]
+    for weights, fanout, least in cases:
+        monkeypatch.setattr(mixing, "FANOUT", fanout)
+        sources = spark.createDataFrame([(s, int(1200 * w) + 1) for s, w in weights.items()], "source string, n int")
+        df = sources.select("source", F.explode(F.sequence(F.lit(1), "n")).alias("j")).withColumn("doc_id", F.abs(F.xxhash64("source", "j")))
+        out = mixing.mixed(df, weights, block_rows=1).orderBy("mix_slot").collect()
+        assert len({r.mix_slot for r in out}) == len(out) == df.count()
+        full = next(i for i, r in enumerate(out) if r.mix_slot != i) if out[-1].mix_slot >= len(out) else len(out)
+        assert full > 900 and _farthest([r.source for r in out], weights, min(full, 1000)) < least
+
+
 def test_mixing_edge(spark, edge, empty):
     out = mixing.mixed(edge, block_rows=2)
     assert out.count() == edge.count() and out.columns == [*edge.columns, "mix_block", "mix_slot", "mix_row"]
     assert mixing.mixed(empty).count() == 0
     assert mixing.in_mixed_order(edge).columns == edge.columns and mixing.in_mixed_order(edge).count() == edge.count()
-    named = mixing.mixed(edge, weights={"s1": 3.0}, block_rows=1, resolution=8).select("mix_slot").collect()
-    assert len({r[0] for r in named}) == edge.count()
+    named = mixing.mixed(edge, weights={"s1": 3.0}, block_rows=1).select("source", "mix_slot").collect()
+    assert len({r.mix_slot for r in named}) == edge.count()
+    assert max(r.mix_slot for r in named if r.source == "s1") < mixing.AFTER <= min(r.mix_slot for r in named if r.source is None)
+    unnamed = mixing.mixed(edge, weights={}, block_rows=1)
+    assert unnamed.count() == edge.count()
+    shared = spark.createDataFrame([(1, f"text {i}", "s") for i in range(40)] + [(None, f"none {i}", "s") for i in range(40)], "doc_id long, text string, source string")
+    orders = [[r.text for r in mixing.mixed(shared.repartition(n)).orderBy("mix_slot", "mix_row").collect()] for n in (1, 7)]
+    assert orders[0] == orders[1]
 
 
 # --- BPE

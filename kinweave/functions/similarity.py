@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
+@lru_cache(maxsize=1 << 16)
 def jaro_winkler_value(a: str, b: str) -> float:
     """Jaro similarity, raised by 0.1 for each of up to four common first characters where it is over 0.7."""
     if not a or not b:
@@ -55,4 +58,5 @@ def jaro_winkler_value(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
+    # names repeat over the pairs of a query, and each different pair is compared once for as long as it is remembered
     return pd.Series([jaro_winkler_value(x or "", y or "") for x, y in zip(a, b)])

@@ -17,10 +17,12 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder takes its place.
+    Only where that setting is absent and executors run on the driver's machine a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="kinweave-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -7,10 +7,11 @@ or capped: the model grows with the text.
 Counting is sharded by (language, n-gram): tasks send their own sums of counts, lower orders count the distinct n-grams
 of the next order, and joins of counts with their contexts' sums and with the next lower order give the probabilities.
 
-Documents are scored by joins with these sharded tables too, no table is broadcast or sent to the driver. Documents are
-dealt, packed, into shards of about SHARD bytes of one language. A shard asks for each of its different n-grams once;
-equal questions of all shards are answered once, order by order from below; the answers go back to the shard, which sums
-them up for each document. Documents travel once: questions and sums read the same exchange.
+Documents are scored by joins with these sharded tables too, no table is broadcast or sent to the driver. The pass that
+counts trusted n-grams also lists those of all other text; each different one is answered once, order by order from below.
+Documents are dealt, packed, into shards of about SHARD bytes of one language. A shard asks for each of its different
+n-grams once, the answers are joined by n-gram and go back to the shard, which sums them up for each document. Documents
+travel once: questions and sums read the same exchange.
 
 A document is kept if its perplexity is at most the QUANTILE of that of its language's trusted documents.
 """
@@ -106,21 +107,21 @@ class Grams:
 
 
 def _counted(batches):
-    """lang, g, c of the texts of a task, summed up over about PIECE symbols."""
-    held: dict[str, list[str]] = {}
+    """lang, g, c of the texts of a task, summed up over about PIECE symbols; n-grams of other than trusted texts with 0."""
+    held: dict[tuple[str, bool], list[str]] = {}
 
-    def flushed(lang):
-        grams = Grams(held.pop(lang))
+    def flushed(key):
+        grams = Grams(held.pop(key))
         codes, counts = grams.distinct()
-        return pd.DataFrame({"lang": lang, "g": grams.strings(codes), "c": counts})
+        return pd.DataFrame({"lang": key[0], "g": grams.strings(codes), "c": counts if key[1] else 0})
 
     for pdf in batches:
-        for lang, text in zip(pdf["lang"], pdf["text"]):
-            held.setdefault(lang, []).append(symbols(text))
-        for lang in [x for x, texts in held.items() if sum(map(len, texts)) > PIECE]:
-            yield flushed(lang)
-    for lang in list(held):
-        yield flushed(lang)
+        for lang, trusted, text in zip(pdf["lang"], pdf["trusted"], pdf["text"]):
+            held.setdefault((lang, trusted), []).append(symbols(text))
+        for key in [x for x, texts in held.items() if sum(map(len, texts)) > PIECE]:
+            yield flushed(key)
+    for key in list(held):
+        yield flushed(key)
 
 
 def kneser_ney(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
@@ -205,13 +206,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     plain = docs.select(common.id_in(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text.alias("text"))
     ids = trusted_ids(labels)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    counts = plain.where("text <> ''").join(ids, "doc_id", "left_semi").select("lang", "text").mapInPandas(_counted, "lang string, g string, c long")
-    model = kneser_ney(common.stored(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "counts"))
+    told = plain.join(ids.withColumn("t", F.lit(True)), "doc_id", "left").select("lang", F.coalesce("t", F.lit(False)).alias("trusted"), "text")
+    grams = common.stored(told.mapInPandas(_counted, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "grams")
+    model = kneser_ney(grams.where("c > 0"))
+    answers = common.stored(answered(grams.select("lang", "g"), model), "answers")
     shards = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD))
     dealt = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     packed = dealt.mapInPandas(_packed, "lang string, shard long, doc_id long, n_symbols long, z binary")
-    asked = packed.groupBy("lang", "shard").applyInPandas(_asking, "lang string, shard long, at int, g string").repartition("lang", "g")
-    back = asked.join(answered(asked.select("lang", "g").distinct(), model), ["lang", "g"]).select("lang", "shard", "at", F.log("p").alias("log_p"))
+    asked = packed.groupBy("lang", "shard").applyInPandas(_asking, "lang string, shard long, at int, g string")
+    back = asked.join(answers, ["lang", "g"]).select("lang", "shard", "at", F.log("p").alias("log_p"))
     out = packed.groupBy("lang", "shard").cogroup(back.groupBy("lang", "shard")).applyInPandas(_summing, "doc_id long, lang string, n_symbols long, log_p double")
     return out.withColumn("log_p", F.nanvl("log_p", F.lit(None)))
 

@@ -1,16 +1,19 @@
 """MinHash near-dedup by a signature-coordinate inverted join.
 
-A document's set is its distinct k-word shingles (hashed to 64 bits). ROWS * BANDS independent minimum hashes are taken;
-ROWS of them together form one signature coordinate. Documents with equal sets are one class and only the class's
-representative (smallest id, then hash of the text) is posted, once under each coordinate-value pair, by its place in the order
-of representatives; rows that share an id, or have none, are thus told apart by their texts:
+A document's set is its distinct k-word shingles (hashed to 64 bits). HASHES independent minimum hashes are its signature;
+the first COORDINATES of them, each on its own, are the coordinates. Documents with equal sets are one class and only the
+class's representative (smallest id, then hash of the text) is posted, once under each coordinate-value pair, by its place
+in the order of representatives; rows that share an id, or have none, are thus told apart by their texts:
 
-    postings(coordinate, value, representative)
+    postings(coordinate-value, representative)
 
-Lists of one member end there. The other lists are merged without writing out their pairs:
+Lists of one member end there. The others are merged without writing out their pairs:
 
-* pivot rounds: each list proposes only (member, pivot). A proposed pair counts its collisions over all ROWS * BANDS
-  hashes, is retained from MATCHES up, and is then confirmed on the full sets. Confirmed links are joined to components.
+* prefix: a pair must collide in COMMON coordinates or more, so it meets in one of the COORDINATES - COMMON + 1 rarest
+  coordinate-value pairs of both; the COMMON - 1 most frequent ones of each document are not merged. Values that passages
+  common to many documents bring leave here, and so do documents that share fewer than COMMON values with any other.
+* pivot rounds: each list proposes only (member, pivot). A proposed pair counts its collisions over all HASHES, is
+  retained from MATCHES up, and is then confirmed on the full sets. Confirmed links are joined to components.
 * skipping: a list whose members already share a component needs no further work. Lists that span components get a
   new pivot in the next round.
 * before sets are compared, parity sketches give a bound on the symmetric difference that rejects almost all other pairs.
@@ -18,8 +21,8 @@ Lists of one member end there. The other lists are merged without writing out th
   blocks of bounded size spread over the cluster.
 
 So no cap stands on lists, partners or candidates. The one thing that can lose a link is the signature itself: two texts
-of similarity 0.8 collide in none of 32 coordinates of 4 hashes with probability (1 - 0.8 ** 4) ** 32 = 5e-8, and fall
-below MATCHES with a smaller one. Representatives, links and components stay distributed throughout.
+of similarity 0.8 collide in fewer than 13 of 32 coordinates with probability 2e-7, and in fewer than MATCHES of all hashes
+with a smaller one. Representatives, links and components stay distributed throughout.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common
 from .exact_dedup import run_count
 
-ROWS, BANDS = 4, 32
-HASHES = ROWS * BANDS
+HASHES, COORDINATES, COMMON = 128, 32, 13
 #: Of 128 hashes, 102.4 collide on average at similarity 0.8 with a standard deviation of 4.5.
 MATCHES = 72
 ROUNDS = 2
@@ -57,6 +60,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _ORDER = _rng.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = _ORDER * np.arange(1, 65, dtype=np.uint64)
+_COORDINATE = np.arange(1, COORDINATES + 1, dtype=np.uint64) * _STEP
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
@@ -152,11 +156,9 @@ def _sketched(k: int):
                     rows.append((i, h, 0, None, None, None))
                     continue
                 sig = signature(s)
-                seed = np.arange(BANDS, dtype=np.uint64) * _STEP
-                for r in range(ROWS):
-                    seed = _mixed(seed ^ sig[r::ROWS])
+                values = _mixed(sig[:COORDINATES] ^ _COORDINATE)
                 short = (sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
-                rows.append((i, h, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), short, seed.astype(np.int64).tolist()))
+                rows.append((i, h, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), short, values.astype(np.int64).tolist()))
             yield pd.DataFrame(rows, columns=["doc_id", "h", "n_shingles", "cls", "sig", "values"])
 
     return run
@@ -322,8 +324,12 @@ def _links(spark, plain: DataFrame, classes: DataFrame, reps: DataFrame, k: int,
     posts = reps.select("rep", F.explode("values").alias("value"))
     # what is grouped by value is written before it is joined: both sides of such a join are then dealt out for it alone,
     # and adaptive execution can split the partition of a long list
-    heads = common.stored(posts.groupBy("value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "heads")
-    lists = common.stored(posts.join(heads, "value"), "lists")
+    sizes = common.stored(posts.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    frequent = W.partitionBy("rep").orderBy(F.desc("size"), F.desc("value"))
+    prefix = posts.join(sizes, "value").withColumn("place", F.row_number().over(frequent)).where(F.col("place") >= COMMON)
+    prefix = common.stored(prefix.select("rep", "value"), "prefixes")
+    heads = common.stored(prefix.groupBy("value").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "heads")
+    lists = common.stored(prefix.join(heads, "value"), "lists")
     ids = common.stored(lists.select("rep").distinct(), "candidates")
     n = ids.count()
     if not n:
@@ -344,7 +350,7 @@ def _links(spark, plain: DataFrame, classes: DataFrame, reps: DataFrame, k: int,
         return full.mapInPandas(_confirmed(percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     links = common.stored(checked(lists.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()), "links")
-    scratch = [heads, lists, ids, sets, sigs, links]
+    scratch = [sizes, prefix, heads, lists, ids, sets, sigs, links]
     more = None
     for step in range(ROUNDS):
         found = common.stored(components(links), "components")

@@ -30,9 +30,11 @@ from . import common
 ORDER = 4
 QUANTILE = 0.99
 #: Bytes of text in a shard, and symbols that are coded at a time.
-SHARD, PIECE = 24 << 20, 4_000_000
+SHARD, PIECE = 14 << 20, 4_000_000
 #: Ids of trusted documents are broadcast up to this many, 8 bytes each; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Tables of one row for each language are broadcast up to this many rows and joined by a shuffle beyond.
+BROADCAST_LANGUAGES = 100_000
 BEGIN = 0x10FFFF
 #: Codes of up to this many different characters are numbers of ORDER digits; beyond, pairs are numbered first.
 DIGITS = 55_000
@@ -124,6 +126,11 @@ def _counted(batches):
         yield flushed(key)
 
 
+def _by_language(table: DataFrame, languages: int) -> DataFrame:
+    """table, of one row for each language, as a side to join: n-grams of a language are not gathered for it."""
+    return F.broadcast(table) if languages <= BROADCAST_LANGUAGES else table
+
+
 def kneser_ney(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each order n the probabilities (lang, g, p) of n-grams and the weights (lang, ctx, w) that contexts of n - 1
     symbols leave to the next lower order, from lang, g, c of ORDER-grams. Below order 1, and for order 0 in the result, all
@@ -133,6 +140,7 @@ def kneser_ney(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         tables[n] = common.stored(tables[n + 1].groupBy("lang", F.substring("g", 2, n).alias("g")).agg(F.count("*").alias("c")), f"count-{n}")
     even = tables[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("p"))
     out = {0: (common.stored(even, "even"), None)}
+    languages = out[0][0].count()
     lower = out[0][0].select("lang", F.lit("").alias("g"), "p")
     for n in range(1, ORDER + 1):
         t = tables[n]
@@ -140,10 +148,13 @@ def kneser_ney(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         y = F.coalesce(F.try_divide(F.col("k1"), F.col("k1") + 2 * F.col("k2")), F.lit(0.5))
         d = [F.least(F.lit(float(i)), F.greatest(F.lit(0.05 * i), i - (i + 1) * y * F.coalesce(F.try_divide(F.col(f"k{i + 1}"), F.col(f"k{i}")), F.lit(0.5)))) for i in (1, 2, 3)]
         of = of.select("lang", *[x.alias(f"d{i}") for i, x in enumerate(d, 1)])
-        t = t.join(of, "lang").select("lang", "g", "c", F.substring("g", 1, n - 1).alias("ctx"), F.substring("g", 2, n - 1).alias("suffix"), F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+        t = t.join(_by_language(of, languages), "lang").select("lang", "g", "c", F.substring("g", 1, n - 1).alias("ctx"), F.substring("g", 2, n - 1).alias("suffix"), F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
         contexts = common.stored(t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("w")), f"contexts-{n}")
         below = lower.select("lang", F.col("g").alias("suffix"), F.col("p").alias("below"))
-        p = t.join(contexts, ["lang", "ctx"]).join(below, ["lang", "suffix"]).select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("w") * F.col("below")).alias("p"))
+        above = contexts
+        if n == 1:
+            above, below = _by_language(above, languages), _by_language(below, languages)
+        p = t.join(above, ["lang", "ctx"]).join(below, ["lang", "suffix"]).select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("w") * F.col("below")).alias("p"))
         lower = common.stored(p, f"order-{n}")
         out[n] = lower, contexts.select("lang", "ctx", "w")
     return out
@@ -157,8 +168,11 @@ def answered(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) ->
     for n in range(ORDER - 1, -1, -1):
         questions[n] = questions[n + 1].select("lang", F.substring("g", 2, n).alias("g")).distinct()
     known = questions[0].join(model[0][0], "lang")
+    languages = model[0][0].count()
     for n in range(1, ORDER + 1):
         seen, contexts = model[n]
+        if n == 1:
+            known, contexts = _by_language(known, languages), _by_language(contexts, languages)
         q = questions[n].select("lang", "g", F.substring("g", 1, n - 1).alias("ctx"), F.substring("g", 2, n - 1).alias("suffix"))
         q = q.join(known.select("lang", F.col("g").alias("suffix"), F.col("p").alias("below")), ["lang", "suffix"]).join(contexts, ["lang", "ctx"], "left")
         known = q.join(seen, ["lang", "g"], "left").select("lang", "g", F.coalesce("p", F.coalesce("w", F.lit(1.0)) * F.col("below")).alias("p"))
@@ -213,6 +227,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     shards = max(1, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD))
     dealt = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     packed = dealt.mapInPandas(_packed, "lang string, shard long, doc_id long, n_symbols long, z binary")
+    packed = packed.repartition(max(common.partitions(spark), 2 * shards), "lang", "shard")
     asked = packed.groupBy("lang", "shard").applyInPandas(_asking, "lang string, shard long, at int, g string")
     back = asked.join(answers, ["lang", "g"]).select("lang", "shard", "at", F.log("p").alias("log_p"))
     out = packed.groupBy("lang", "shard").cogroup(back.groupBy("lang", "shard")).applyInPandas(_summing, "doc_id long, lang string, n_symbols long, log_p double")
@@ -236,7 +251,8 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, *
     out = common.stored(out, "perplexities")
     trusted = out.join(trusted_ids(labels), "doc_id", "left_semi").where("perplexity is not null")
     cuts = trusted.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("threshold"))
-    return out.join(cuts, "lang", "left").select(
+    cuts = common.stored(cuts, "thresholds")
+    return out.join(_by_language(cuts, cuts.count()), "lang", "left").select(
         common.id_out("doc_id"), "lang", "n_symbols", "perplexity", "threshold",
         ((F.col("n_symbols") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"),
     )

@@ -63,8 +63,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of rows with equal normalised text the one with the most code points, then the smallest id, stays. Null text counts
     as empty, and all empty texts are one group. Repeated rows with one id form a group of their own size and are all
     reported; with equal text all of them have kept = true if the id stays. Null ids are one id, the last. Other columns
-    are ignored. An empty table
-    gives an empty result.
+    are ignored, also those named like inner ones. Whole texts of any length are hashed. An empty table gives an empty result.
     """
     base, down = _grouped(docs, id_col, text_col)
     return base.join(down, ["digest", "proof", "run"]).select(

@@ -101,6 +101,7 @@ def address_norm(address: Column, words: dict[str, str] | None = None, unicode:
 
 def postal_code(address: Column) -> Column:
     """The last nine-digit code, else the last six-digit code, else the last token of five digits, else ''."""
+    # The three patterns.
     a = F.coalesce(address, F.lit(""))
     last = lambda p: F.try_element_at(F.regexp_extract_all(a, F.lit(p), F.lit(0)), F.lit(-1))
     bare = F.transform(tokens(a), lambda t: F.regexp_replace(t, "^[ ,.#-]+|[ ,.#-]+$", ""))

@@ -1,4 +1,7 @@
-"""Labels, hard negatives, and the reasons of errors: ladders of conditions, the first that holds decides."""
+"""Labels, hard negatives, and the reasons of errors: ladders of conditions, the first that holds decides.
+
+Fixed values: the thresholds in the conditions of the categories, ladders and reasons below.
+"""
 
 from __future__ import annotations
 

@@ -101,7 +101,7 @@ def _housed(words: str, prefix: str = "") -> str:
 
 
 _HOUSE_TOKENS = f"list_concat({_housed(f'({_PLAIN})[1:4]')}, {_housed(f'({_W4})[1:2]', 'addr_')})"
-# name: (index, target keys, query keys, least length, ratio, registered, cap, limit, counted)
+# The limits of the research blocks. name: (index, target keys, query keys, least length, ratio, registered, cap, limit, counted)
 BLOCKS = {
     "exact_name": ("exact_name", _one("name_norm"), _one("name_norm"), 2, 0.01, False, 1000, None, False),
     "name_core": ("name_core", _one("name_core"), _one("name_core"), 2, 0.01, False, 1000, None, False),
@@ -166,7 +166,7 @@ asked AS ({' UNION ALL '.join(asked)}),
     )
 
 
-# name: (target keys, query keys, least length, cap, limit)
+# The limits of the fast blocks. name: (target keys, query keys, least length, cap, limit)
 _WEB_OF_NORM = f"CASE WHEN len({_web('name_norm')}) > 0 THEN [array_to_string({_web('name_norm')}, '')] ELSE [] END"
 _P3 = _housed(f"({_PLAIN})[1:3]")
 FAST = {

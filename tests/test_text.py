@@ -69,3 +69,15 @@ def test_devanagari_words(spark):
 
     text = "मुंबई № ½ a_b"
     assert run(spark, [text], X.name_norm(F.col("v")))[0][0] == " ".join(re.sub(r"[^\w\s]", " ", "मुंबई no 1⁄2 a_b").split())
+
+
+def test_fixed_values():
+    """Some values that both the plans and their SQL read from one place, stated once more."""
+    from kinweave import config
+
+    assert config.RANK_WEIGHTS["exact_name"] == 8.0 and config.RANK_WEIGHTS["address_token"] == 1.0 and config.BASE_WEIGHTS["name_core"] == 6.0
+    assert config.ADDRESS_WORDS["north"] == "n" and config.ADDRESS_WORDS["southwest"] == "sw"
+    assert {"pvt", "llp", "holdings"} <= set(config.LEGAL_STOPWORDS) and "the" in config.LEADING_WORDS and "biz" in config.WEB_ENDINGS
+    assert config.SCRIPTS[0x0900].startswith("Devanagari") and config.SCRIPTS[0x0B80] == "Tamil"
+    assert config.THRESHOLDS == [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
+    assert config.EXTENDED_UNIONS["f"][-2:] == ["name_web_norm", "house_token"] and config.THRESHOLD == 0.5

@@ -41,7 +41,7 @@ from .exact_dedup import run_count
 HASHES, COORDINATES, COMMON = 128, 32, 13
 #: Of 128 hashes, 102.4 collide on average at similarity 0.8 with a standard deviation of 4.5.
 MATCHES = 72
-ROUNDS = 2
+ROUNDS = 3
 #: Members on either side of a block of the exact remainder.
 BLOCK = 256
 #: Bits of a parity sketch: four times the set's size, within these powers of two.
@@ -203,13 +203,22 @@ def _confirmed(percent: int):
 
 
 def _block_pairs(percent: int):
-    """Of the lists in one block: pairs across components that reach MATCHES."""
+    """Of the lists in one block: pairs across components that reach MATCHES, each in the list of its least common value."""
+
+    def padded(posted, filler):
+        out = np.full((len(posted), max(map(len, posted))), filler, np.int64)
+        for i, values in enumerate(posted):
+            out[i, : len(values)] = values
+        return out
+
 
     def run(left, right):
         found = [np.empty((0, 2), np.int64)]
         if len(left) and len(right):
             x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(len(left), HASHES)
             y = np.frombuffer(b"".join(right["o_sig"]), np.uint16).reshape(len(right), HASHES)
+            most = np.iinfo(np.int64).max
+            mine, theirs = padded(left["posted"], most), padded(right["o_posted"], np.iinfo(np.int64).min)
             a = {c: left[c].to_numpy() for c in ("value", "rep", "comp", "n")}
             b = {c: right[f"o_{c}"].to_numpy() for c in ("value", "rep", "comp", "n", "outer")}
             order = np.argsort(b["value"], kind="stable")
@@ -230,6 +239,9 @@ def _block_pairs(percent: int):
                 may = apart * (100 + percent) <= (a["n"][p] + b["n"][q]) * (100 - percent)
                 p, q = p[may], q[may]
                 keep = (x[p] == y[q]).sum(1) >= MATCHES
+                p, q = p[keep], q[keep]
+                both = (mine[p][:, :, None] == theirs[q][:, None, :]).any(2)
+                keep = np.where(both, mine[p], most).min(1, initial=most) == a["value"][p]
                 u, v = a["rep"][p[keep]], b["rep"][q[keep]]
                 found.append(np.stack((np.minimum(u, v), np.maximum(u, v)), 1))
                 i = j
@@ -362,8 +374,8 @@ def _links(spark, plain: DataFrame, classes: DataFrame, reps: DataFrame, k: int,
         if step + 1 == ROUNDS:
             more = confirmed(_remainder(spread, sigs, percent).distinct())
             break
-        # the smallest member outside the first pivot's component is the next pivot
-        nxt = common.stored(spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct("rep", "comp")).alias("p")), "pivots")
+        # the next pivot is some member outside the first pivot's component, another one in each list
+        nxt = common.stored(spread.where("comp <> pivot_comp").groupBy("value").agg(F.min(F.struct(F.xxhash64("value", "rep").alias("h"), "rep", "comp")).alias("p")), "pivots")
         pairs = spread.join(nxt, "value").where("comp <> p.comp").select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b")).distinct()
         links = common.stored(links.union(checked(pairs)), "links")
         scratch += [nxt, links]
@@ -395,15 +407,17 @@ def _remainder(spread: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     most = spread.groupBy("value", "comp").agg(F.count("*").alias("c")).groupBy("value").agg(
         F.max(F.struct("c", "comp"))["comp"].alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")
     )
-    members = spread.join(common.stored(most, "most"), "value").join(sigs, "rep").select(
-        "value", "rep", "comp", "n", "sig", "parity", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
+    # members of different components share no list but those that span components
+    posted = common.stored(spread.groupBy("rep").agg(F.collect_set("value").alias("posted")), "posted")
+    members = spread.join(common.stored(most, "most"), "value").join(sigs, "rep").join(posted, "rep").select(
+        "value", "rep", "comp", "n", "sig", "parity", "posted", "blocks", (F.col("comp") != F.col("main")).alias("outer"),
         (F.col("blocks") > 1).alias("cut"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"),
         F.when(F.col("blocks") > 1, F.col("value")).otherwise(F.pmod(F.xxhash64("value"), F.lit(groups))).alias("group"),
     )
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = members.where("outer").withColumn("y", others).withColumn("x", F.col("own"))
     right = members.withColumn("x", others).withColumn("y", F.col("own"))
-    key, cols = ["cut", "group", "x", "y"], ["value", "rep", "comp", "n", "sig", "parity", "outer"]
+    key, cols = ["cut", "group", "x", "y"], ["value", "rep", "comp", "n", "sig", "parity", "posted", "outer"]
     right = right.select([F.col(c).alias(f"o_{c}") for c in key + cols])
     return (
         left.select([F.col(c).alias(c) for c in key + cols]).groupBy(key)
